@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwise.llm.leakage import leaked_items
 from barwise.llm.nearest import nearest_in_time
 from barwise.llm.percentiles import merge_counts, percentiles, value_counts
 from barwise.session import table
@@ -46,7 +47,16 @@ def p4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_percentiles_daily, p2_percentiles_exact, p4_found, p4_all)}
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that holds passages of an evaluation item, with the extent of the leak."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_percentiles_daily, p2_percentiles_exact, p4_found, p4_all, p8_found, p8_leaks)}
 
 _PROBS = "(values (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99)) q(prob)"
 _VALUES = "(select symbol, 'close' as metric, close as v from bars union all select symbol, 'volume', volume from bars)"
