@@ -127,6 +127,7 @@ class Index:
 
 
 GAP = 0.6
+BREAK = 8  # an alignment that skips more words than this is two passages
 
 
 def _align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
@@ -170,15 +171,16 @@ def overlap(index: Index, item_no: int, text: np.ndarray, rule: LeakRule) -> tup
             score, pairs = _align(free, part)
             if score < 3.5 or len(pairs) < 4:
                 break
-            i0, i1, j0, j1 = pairs[0][0], pairs[-1][0] + 1, pairs[0][1], pairs[-1][1] + 1
-            part[j0:j1] = -2
-            hit = np.array([p[0] for p in pairs])
-            span = max(i1 - i0, 1)
-            if span >= rule.least_passage - 1 and len(pairs) >= rule.agree * max(span, j1 - j0) and weight[hit].sum() >= rule.agree_weight * weight[i0:i1].sum():
-                covered[i0:i1] = True
-                free[i0:i1] = -3
-                matched += len(pairs)
-                passages += 1
+            hits = np.array(pairs)
+            part[hits[0, 1] : hits[-1, 1] + 1] = -2
+            for one in np.split(hits, np.flatnonzero((np.diff(hits, axis=0) > BREAK).any(1)) + 1):
+                (i0, j0), (i1, j1) = one[0], one[-1] + 1
+                fits = i1 - i0 >= rule.least_passage - 1 and len(one) >= rule.agree * max(i1 - i0, j1 - j0)
+                if fits and weight[one[:, 0]].sum() >= rule.agree_weight * weight[i0:i1].sum():
+                    covered[i0:i1] = True
+                    free[i0:i1] = -3
+                    matched += len(one)
+                    passages += 1
     return int(covered.sum()), passages, matched / max(1, int(covered.sum()))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwise.llm.leakage import leaked_items
+from barwise.llm.mixing import mix
 from barwise.llm.nearest import nearest_in_time
 from barwise.llm.percentiles import merge_counts, percentiles, value_counts
-from barwise.session import table
+from barwise.llm.toxicity import LINKS, toxic_rates, toxicity
+from barwise.session import checkpointed, table
 
 REL_ERROR = 0.001
 METRICS = ["close", "volume"]
@@ -56,7 +58,38 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_percentiles_daily, p2_percentiles_exact, p4_found, p4_all, p8_found, p8_leaks)}
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the mixture."""
+    report = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return report.withColumn("actual_share", F.round("actual_share", 6))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in the mixture, with its shard and place."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+#: Probability from which a document counts as toxic.
+TOXIC = 0.8
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document."""
+    out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return out.select("doc_id", *[F.round(c, 4).alias(c) for c in LINKS])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).filter(F.col("toxic") >= TOXIC).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of toxic documents per source, in its plain form."""
+    docs = table(spark, sf_dir, "documents")
+    return toxic_rates(docs, checkpointed(toxicity(docs, table(spark, sf_dir, "doc_labels"))), threshold=TOXIC).withColumn("rate", F.round("rate", 6))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_percentiles_daily, p2_percentiles_exact, p4_found, p4_all, p8_found, p8_leaks, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}
 
 _PROBS = "(values (0.01), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99)) q(prob)"
 _VALUES = "(select symbol, 'close' as metric, close as v from bars union all select symbol, 'volume', volume from bars)"
