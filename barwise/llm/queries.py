@@ -70,7 +70,7 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Probability from which a document counts as toxic.
-TOXIC = 0.8
+TOXIC = 0.5
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ are its counter-examples.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.llm.words import folded, plain
+from barwise.llm.words import plain
 
 WINDOW = 20
 FOLDS = 3
@@ -83,6 +84,15 @@ def _undisguised(part: str) -> list[str]:
     return [w for w in plain(_LONG.sub(r"\1", word)).split() if not w.isdigit()]
 
 
+# Characters that disguises and scanning exchange most.
+_ALIKE = str.maketrans("015i", "olsl")
+
+
+def folded(word: str) -> str:
+    """One form for words that differ in look-alike characters only (weaker than in the leak search: beat is not heat)."""
+    return word.translate(_ALIKE)
+
+
 class _Words(dict):
     """Part of a text -> its words, remembered."""
 
@@ -115,7 +125,7 @@ class _Lookup(dict):
         return got
 
 
-def _fit(idx: np.ndarray, start: np.ndarray, extra: np.ndarray, y: np.ndarray, size: int, l2: float = 0.3, steps: int = 40) -> tuple[np.ndarray, np.ndarray, float]:
+def _fit(idx: np.ndarray, start: np.ndarray, extra: np.ndarray, y: np.ndarray, size: int, l2: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression on counts of features ``idx`` (rows begin at ``start``) and dense ``extra`` columns, by L-BFGS."""
     count = np.diff(np.r_[start, len(idx)])
     n, k = len(y), extra.shape[1]
@@ -259,12 +269,12 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
     A first model shows which harmless windows look suspicious to it; words that mostly
     stand in such windows then get a say as well, and the chain is fitted with them.
     """
-    _, more = _train(texts, toxic, seed, set(), 1)
+    _, more = _train(texts, toxic, seed, (set(), set()), 1)
     return _train(texts, toxic, seed, more, ROUNDS)[0]
 
 
-def _train(texts: list[str], toxic: np.ndarray, seed: int, extra_words: set[str], rounds: int) -> tuple[Chain, set[str]]:
-    """The chain, and words typical of the harmless windows it finds suspicious."""
+def _train(texts: list[str], toxic: np.ndarray, seed: int, extra: tuple[set, set], rounds: int) -> tuple[Chain, tuple[set, set]]:
+    """The chain, and words and word pairs typical of the harmless windows it finds suspicious."""
     seeds = {w: c for c, ws in SEEDS.items() for w in (folded(tokens(x)[0]) for x in ws if tokens(x))}
     docs = [[folded(w) for w in tokens(t)] for t in texts]
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
@@ -287,10 +297,10 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int, extra_words: set[str]
     # words and pairs known to the model: those typical of toxic documents, and where such a
     # word stands in harmless ones; the rest of the vocabulary has no say
     least, sure, more = (4, 3.5, 1.1) if n_pos >= 300 else (2, 2.0, 0.7)
-    words = {w for w, c in df[1].items() if c >= least and excess(df, w) >= sure and odds(df, w) >= more} | set(seeds) | extra_words
+    words = {w for w, c in df[1].items() if c >= least and excess(df, w) >= sure and odds(df, w) >= more} | set(seeds) | extra[0]
     typical = [p for p, c in pf[1].items() if c >= least and excess(pf, p) >= sure and odds(pf, p) >= more]
     beside = [p for p, c in pf[0].items() if c >= 2 and (p[0] in words) != (p[1] in words)]
-    wanted = set(typical) | set(beside)
+    wanted = set(typical) | set(beside) | extra[1]
     # members of pairs need a number, but get no weight of their own unless they are such words
     silent = {w for p in wanted for w in p} - words
     terms = {w: i + 1 for i, w in enumerate([*sorted(words), *sorted(silent)])}
@@ -312,8 +322,9 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int, extra_words: set[str]
     run = np.r_[0.0, np.cumsum(prior[ids])]
     end = np.minimum(np.arange(len(ids)) + WINDOW, ends[doc_of]) if len(ids) else np.array([], "int64")
     score = run[end] - run[: len(ids)]
-    rng = np.random.default_rng(seed)
-    fold = rng.integers(0, FOLDS, len(docs))
+    # near-identical documents mostly begin alike and should not be split over folds
+    fold = np.array([zlib.crc32(" ".join(d[:6]).encode() + bytes([seed])) % FOLDS for d in docs], "int64")
+    judged = score  # the score that decides what is left out as a rater's error
     seed_no = np.zeros(base, "int64")
     for w, c in seeds.items():
         if w in terms:
@@ -362,10 +373,13 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int, extra_words: set[str]
         lead = np.full(len(docs), -np.inf)
         np.maximum.at(lead, d, score[starts])
         lead = lead[d]
+        held_out = np.full(len(docs), -np.inf)
+        np.maximum.at(held_out, doc_of, judged)
+        held_out = held_out[d]
         if rnd == 0:
             usable = np.where(y_doc == 1, (score[starts] >= 0.6 * lead) & (lead > 0), True)
         else:
-            usable = np.where(y_doc == 1, (score[starts] >= lead - 1.5) & (lead > 0.0), score[starts] < 2.5)
+            usable = np.where(y_doc == 1, (score[starts] >= lead - 1.5) & (held_out > 0.0), judged[starts] < 2.5)
         held = [set(seed_no[ids[s : end[s]]]) for s in starts]
         f_of = fold[d]
         earlier = np.zeros((len(starts), 0))
@@ -396,14 +410,17 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int, extra_words: set[str]
         model.links = links
         z = model.windows(ids, size)[:, -1].astype("float64")
         score = np.log(np.clip(z, 1e-9, 1 - 1e-9) / (1 - np.clip(z, 1e-9, 1 - 1e-9)))
+        judged = np.full(len(ids), -np.inf)
+        judged[starts] = np.log(np.clip(out, 1e-9, 1 - 1e-9) / (1 - np.clip(out, 1e-9, 1 - 1e-9)))
     if not model.links:
         model.links = [(np.zeros(base), np.zeros(len(pairs) + 1), np.zeros(k), -6.0) for k in range(len(LINKS))]
-    hard, flat = Counter(), [w for d in docs for w in d]
+    hard, flat = (Counter(), Counter()), [w for d in docs for w in d]
     for i in _worst(np.where(toxic[doc_of] == 0, score, -np.inf), size) if len(flat) else []:
         for j in i:
             if toxic[doc_of[j]] == 0 and score[j] > -2.5:
-                hard.update(set(flat[j : end[j]]))
-    typical = {w for w, c in hard.items() if c >= least and c >= 0.4 * (df[0][w] + df[1][w])}
+                hard[0].update(set(flat[j : end[j]]))
+                hard[1].update(set(zip(flat[j : end[j]], flat[j + 1 : end[j]])))
+    typical = tuple({w for w, c in h.items() if c >= least and c >= 0.25 * (n[0][w] + n[1][w])} for h, n in zip(hard, (df, pf)))
     return model, typical
 
 
