@@ -3,7 +3,7 @@
 The held-out items form an inverted index with BM25 impacts; each term knows its largest
 impact overall and in each block of items.  Every passage (overlapping windows of words)
 of every document is a query.  As in block-max WAND, work stops as early as the bounds
-allow: a passage whose summed term maxima miss the threshold is dropped, then single
+allow: a passage whose summed term maxima miss every item's threshold is dropped, then single
 blocks of items are dropped by their block maxima, and only what is left is scored.  The
 bounds are never below the score, so everything above the threshold is retrieved.  Each
 retrieved (document, item) pair is then verified by local alignment of the words.
@@ -26,14 +26,14 @@ WINDOW, STRIDE, BLOCK = 40, 20, 16
 
 @dataclass(frozen=True)
 class LeakRule:
-    """``threshold`` BM25 score at which a passage is verified; the others define a leak:
-    ``least_words`` words of the item in all, in passages of at least ``least_passage`` words
+    """``part`` sets the BM25 score from which a passage is verified against an item, as a part of what
+    the item's weakest intact passage of ``least_words`` words scores.  The others define a leak: ``least_words`` words of the item in all, in passages of at least ``least_passage`` words
     of which the share ``agree`` agree (``agree_weight`` when words count by their rarity).
     ``least_bigrams`` is a bound, not a further condition: 20 words of which every third
     differs still share five neighbouring pairs with the item, and pairs are only aligned
     word by word if they share as many."""
 
-    threshold: float = 24.0
+    part: float = 0.8
     least_words: int = 20
     least_passage: int = 8
     agree: float = 0.72
@@ -58,7 +58,8 @@ class _Vocabulary(dict):
 class Index:
     """BM25 index of the items with per-term and per-block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], rule: LeakRule | None = None) -> None:
+        rule = rule or LeakRule()
         self.ids = np.array([i for i, _ in items], "int64")
         texts = [[folded(w) for w in words(t or "")] for _, t in items]
         terms: dict[str, int] = {}
@@ -78,10 +79,19 @@ class Index:
         self.block_max = padded.reshape(v, blocks, BLOCK).max(2)
         self.term_max = np.append(self.impact.max(1) if n else np.zeros(v), 0).astype("float32")
         self.vocabulary = _Vocabulary(terms)
-        self.bigrams = [np.unique(w[:-1].astype("int64") * max(1, v) + w[1:]) for w in self.words]
+        pairs = [np.unique(w[:-1].astype("int64") * max(1, v) + w[1:]) for w in self.words]
+        known, in_items = np.unique(np.concatenate([*pairs, np.array([], "int64")]), return_counts=True)
+        common = known[in_items > max(3, 0.08 * n)]  # word pairs of the items' shared wording
+        self.bigrams = [np.setdiff1d(p, common) for p in pairs]
+        k = rule.least_words
+        weakest = [min((self.impact[np.unique(w[j : j + k]), i].sum() for j in range(len(w) - k + 1)), default=np.inf) for i, w in enumerate(self.words)]
+        self.threshold = (rule.part * np.array(weakest, "float64")).astype("float32") if n else np.array([], "float32")
+        padded_t = np.full(blocks * BLOCK, np.inf, "float32")
+        padded_t[:n] = self.threshold
+        self.block_threshold = padded_t.reshape(blocks, BLOCK).min(1)
 
     def shared_bigrams(self, item_no: int, text: np.ndarray) -> int:
-        """How many different word pairs of the item stand side by side in the text as well."""
+        """How many of the item's own word pairs (not those of a wording many items share) stand side by side in the text as well."""
         pair = text[:-1].astype("int64") * len(self.idf) + text[1:]
         pair = pair[(text[:-1] >= 0) & (text[1:] >= 0)]
         own = self.bigrams[item_no]
@@ -89,8 +99,11 @@ class Index:
         at[at == len(own)] = 0
         return len(np.unique(pair[own[at] == pair])) if len(own) else 0
 
-    def candidates(self, ids: np.ndarray, doc_start: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(document, item) pairs with a passage scoring at least ``threshold``; ids hold all documents' terms."""
+    def candidates(self, ids: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) pairs with a passage scoring at least the item's threshold; ids hold all documents' terms."""
+        if not len(self.ids) or not np.isfinite(self.threshold).any():
+            return np.array([], "int64"), np.array([], "int64")
+        least = float(self.threshold.min())
         size = np.diff(np.r_[doc_start, len(ids)])
         per_doc = np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE))
         doc = np.repeat(np.arange(len(size)), per_doc)
@@ -98,7 +111,7 @@ class Index:
         lo = doc_start[doc] + no * STRIDE
         hi = np.minimum(lo + WINDOW, doc_start[doc] + size[doc])
         total = np.r_[0.0, np.cumsum(self.term_max[ids], dtype="float64")]
-        left = np.flatnonzero((hi > lo) & (total[hi] - total[lo] >= threshold - 1e-6))
+        left = np.flatnonzero((hi > lo) & (total[hi] - total[lo] >= least - 1e-4))
         pairs: list[np.ndarray] = []
         for part in np.array_split(left, max(1, len(left) // 4096)):
             if not len(part):
@@ -114,13 +127,13 @@ class Index:
             begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             who = row[begin]
             bound = np.add.reduceat(self.block_max[term], begin, axis=0)
-            for blk in np.flatnonzero((bound >= threshold - 1e-4).any(0)):
-                keep = bound[:, blk] >= threshold - 1e-4
+            for blk in np.flatnonzero((bound >= self.block_threshold - 1e-3).any(0)):
+                keep = bound[:, blk] >= self.block_threshold[blk] - 1e-3
                 rows = np.flatnonzero(keep)
                 entry = np.repeat(keep, np.diff(np.r_[begin, len(row)]))
                 cut = np.flatnonzero(np.r_[True, np.diff(row[entry]) != 0])
                 score = np.add.reduceat(self.impact[term[entry], blk * BLOCK : (blk + 1) * BLOCK], cut, axis=0)
-                w, i = np.nonzero(score >= threshold)
+                w, i = np.nonzero(score >= self.threshold[blk * BLOCK : (blk + 1) * BLOCK])
                 pairs.append(doc[part[who[rows[w]]]] * np.int64(len(self.ids)) + blk * BLOCK + i)
         found = np.unique(np.concatenate(pairs)) if pairs else np.array([], "int64")
         return found // max(1, len(self.ids)), found % max(1, len(self.ids))
@@ -214,7 +227,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
             parts.append(shard)
             shard = []
     for part in [*parts, *([shard] if shard else [])]:
-        out = out.unionByName(_search(source, Index(part), rule, schema))
+        out = out.unionByName(_search(source, Index(part, rule), rule, schema))
     return out
 
 
@@ -232,7 +245,7 @@ def _search(source: DataFrame, index: Index, rule: LeakRule, schema: str) -> Dat
                 size.append(len(ws))
             ids = np.array(flat, "int32")
             start = np.cumsum(size) - size if size else np.array([], int)
-            docs, found = ix.candidates(ids, np.asarray(start, "int64"), rule.threshold)
+            docs, found = ix.candidates(ids, np.asarray(start, "int64"))
             hits = []
             for d, i in zip(docs.tolist(), found.tolist()):
                 part = ids[start[d] : start[d] + size[d]]

@@ -35,7 +35,7 @@ FOLDS = 3
 ROUNDS = 2
 TOP = 3  # windows of a document that take part in training
 #: Labelled documents used for fitting at most (chosen by hash of the id).
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 
 # Seed words of the categories, English, German, French.
 SEEDS = {
