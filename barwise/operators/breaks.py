@@ -32,7 +32,7 @@ def chow(df: DataFrame, pooled: str, first: str, second: str, y: str, part: str,
     sq = lambda c: (F.col(y) - F.col(c)) * (F.col(y) - F.col(c))
     own = F.when(F.col(part) == 0, sq(first)).otherwise(sq(second))
     g = df.groupBy(*by).agg(F.sum(sq(pooled)).alias("c"), F.sum(own).alias("s"), F.count(F.lit(1)).alias("n"))
-    return g.select(*by, F.try_divide((F.col("c") - F.col("s")) / k, F.col("s") / (F.col("n") - 2 * k)).alias("f"))
+    return g.select(*by, F.try_divide((F.col("c") - F.col("s")) / k, F.try_divide(F.col("s"), F.col("n") - 2 * k)).alias("f"))
 
 
 def mean_break(df: DataFrame, value: str, trim: float = 0.15, min_size: int = 15, k: int = 1) -> DataFrame:

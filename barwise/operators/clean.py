@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from barwise.functions.frames import rolling, running
+from barwise.operators.quantiles import quantiles
 from barwise.session import bounded
 
 
 def clip_quantile(df: DataFrame, value: str = "price", low: float = 0.01, high: float = 0.99, by: str = "symbol") -> DataFrame:
     """``df`` with ``clipped``: ``value`` kept between two exact quantiles of its group; nulls stay null."""
-    q = df.groupBy(by).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
+    q = quantiles(df, value, [by], [low, high]).select(by, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
     x = F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value), F.col("_hi")), F.col("_lo")))
     return df.join(bounded(q), by).withColumn("clipped", x).drop("_lo", "_hi")
 

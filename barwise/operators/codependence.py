@@ -103,7 +103,7 @@ def distance_correlation(df: DataFrame, ident: str) -> DataFrame:
     def cov(xy: str, mxy: str, gx: str, gy: str) -> Column:
         return F.col(xy) / F.col("nn") - 2 * F.col(mxy) / F.col("n") + F.col(gx) * F.col(gy)
 
-    return t.select((1 - F.sqrt(cov("ab", "mab", "ga", "gb")) / F.sqrt(F.sqrt(cov("aa", "maa", "ga", "ga")) * F.sqrt(cov("bb", "mbb", "gb", "gb")))).alias("distance"))
+    return t.select((1 - F.try_divide(F.sqrt(cov("ab", "mab", "ga", "gb")), F.sqrt(F.sqrt(cov("aa", "maa", "ga", "ga")) * F.sqrt(cov("bb", "mbb", "gb", "gb"))))).alias("distance"))
 
 
 MAX_DCOR_ROWS = 5_000
@@ -150,7 +150,7 @@ def histogram_distance(df: DataFrame, by: list[str], width: float) -> DataFrame:
     pairs = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("x").alias("v")), F.struct(F.lit(1).alias("s"), F.col("y").alias("v")))).alias("e")
     cells = d.select(*by, "lo", "nx", "ny", pairs).filter("e.v is not null").groupBy(*by, "nx", "ny", F.floor((F.col("e.v") - F.col("lo")) / width).alias("k")).agg(
         F.count_if(F.col("e.s") == 0).alias("cx"), F.count_if(F.col("e.s") == 1).alias("cy"))
-    return kl_js(cells.select(*by, (F.col("cx") / F.col("nx") / width).alias("x"), (F.col("cy") / F.col("ny") / width).alias("y")), by).select(*by, "js")
+    return kl_js(cells.select(*by, (F.try_divide("cx", "nx") / width).alias("x"), (F.try_divide("cy", "ny") / width).alias("y")), by).select(*by, "js")
 
 
 def mixed(a: Column, b: Column, theta: float) -> Column:

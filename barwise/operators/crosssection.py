@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barwise.functions.frames import rolling
+from barwise.operators.quantiles import quantiles
 from barwise.session import bounded, checkpointed
 
 
@@ -37,7 +38,7 @@ def rank_heatmap(df: DataFrame, a: str, b: str, clip: float = 0.99) -> DataFrame
 
 def quantile_bins(df: DataFrame, value: str, by: list[str], bins: int) -> DataFrame:
     """``df`` with ``bin`` 0 .. bins - 1: how many inner exact quantiles of the group lie below the value."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_q"))
+    q = quantiles(df, value, by, [k / bins for k in range(1, bins)])
     return df.join(bounded(q), by).withColumn("bin", F.when(F.col(value).isNotNull(), F.aggregate("_q", F.lit(0), lambda n, e: n + (F.col(value) > e).cast("int")))).drop("_q")
 
 
@@ -55,7 +56,7 @@ def wide(df: DataFrame, index: str, columns: str, value: str, names: list[str])
 
 def robust_scale(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """``df`` with ``scaled``: (value - median) / interquartile range of its group."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(df, value, by, [0.25, 0.5, 0.75])
     return df.join(bounded(q), by).withColumn("scaled", F.try_divide(F.col(value) - F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0])).drop("_q")
 
 
@@ -67,13 +68,11 @@ def precision_recall(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return both.groupBy("label").agg(F.try_divide(hit, g).alias("precision"), F.try_divide(hit, t).alias("recall"), t.alias("support"))
 
 
-def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """count, mean, std (n - 1), min, exact quartiles and max of a column."""
-    g = df.groupBy(*(by or []))
-    return g.agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.75)).alias("p75"), F.max(value).alias("max"),
-    )
+def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """count, mean, std (n - 1), min, exact quartiles and max of a column per group; groups without values have count 0 and nulls."""
+    g = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, value, by, [0.25, 0.5, 0.75])
+    return g.join(q, by, "left").select(*by, "count", "mean", "std", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def correlation_pairs(pairs: DataFrame) -> DataFrame:
@@ -168,8 +167,8 @@ def pie_shares(df: DataFrame, name: str, value: str) -> DataFrame:
     """``name, share, start_angle, end_angle`` in order of name."""
     total = F.sum(value).over(W.partitionBy())
     d = df.groupBy(name).agg(F.sum(value).alias(value))
-    share = F.col(value) / total
-    upto = F.sum(value).over(W.orderBy(name).rowsBetween(W.unboundedPreceding, 0)) / total
+    share = F.try_divide(F.col(value), total)
+    upto = F.try_divide(F.sum(value).over(W.orderBy(name).rowsBetween(W.unboundedPreceding, 0)), total)
     two_pi = 6.283185307179586
     return d.select(name, share.alias("share"), ((upto - share) * two_pi).alias("start_angle"), (upto * two_pi).alias("end_angle"))
 

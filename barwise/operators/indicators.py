@@ -124,7 +124,7 @@ def discounted_future(df: DataFrame, value: str = "rate", spans: Sequence[int] =
 def future_extremes(df: DataFrame, spans: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """``up_{k}, down_{k}``: the largest and smallest of the next k prices over the present one, minus 1."""
     p = F.col("price")
-    return rolling(df, lambda w: {f"{n}_{k}": full_next(f, "price", w, k) / p - 1 for k in spans for n, f in (("up", F.max), ("down", F.min))}, ahead=max(spans))
+    return rolling(df, lambda w: {f"{n}_{k}": F.try_divide(full_next(f, "price", w, k), p) - 1 for k in spans for n, f in (("up", F.max), ("down", F.min))}, ahead=max(spans))
 
 
 def _slope(y: str, w: WindowSpec, lo: int, hi: int) -> Column:

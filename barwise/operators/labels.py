@@ -45,13 +45,13 @@ def event_prices(events: DataFrame, bars: DataFrame) -> DataFrame:
 
 def return_sign(events: DataFrame, bars: DataFrame, threshold: float = 0.0) -> DataFrame:
     """``ret`` (log) and ``bin``: 1 above the threshold, -1 below its negative, else 0."""
-    d = event_prices(events, bars).withColumn("ret", F.ln(F.col("p1") / F.col("p0")))
+    d = event_prices(events, bars).withColumn("ret", F.ln(F.try_divide("p1", "p0")))
     return d.withColumn("bin", F.when(F.col("ret") > threshold, 1).when(F.col("ret") < -threshold, -1).otherwise(0))
 
 
 def scale(events: DataFrame, bars: DataFrame, sign: Column | None = None) -> DataFrame:
     """``scale``: size of the log return, 0 where a given sign differs from its own."""
-    d = event_prices(events, bars).withColumn("ret", F.ln(F.col("p1") / F.col("p0")))
+    d = event_prices(events, bars).withColumn("ret", F.ln(F.try_divide("p1", "p0")))
     size = F.abs("ret")
     return d.withColumn("scale", size if sign is None else F.when(F.signum("ret") == sign, size).otherwise(0.0))
 
@@ -71,7 +71,7 @@ def triple_barrier(events: DataFrame, bars: DataFrame, sl: float, pt: float) ->
     """``event_id, symbol, t0, sl_ts, pt_ts, t1, bin``: first bar whose return since t0 is below ``sl`` or above ``pt``;
     t1 the earliest of these and the given end; bin -1, 0, 1 for the one that came first (sl before end before pt on ties)."""
     p0 = bars.select("symbol", F.col("ts").alias("t0"), F.col("price").alias("p0"))
-    d = events_with_bars(events.join(p0, ["symbol", "t0"]), bars.select("symbol", "ts", "price")).withColumn("r", F.col("price") / F.col("p0") - 1)
+    d = events_with_bars(events.join(p0, ["symbol", "t0"]), bars.select("symbol", "ts", "price")).withColumn("r", F.try_divide("price", "p0") - 1)
     g = d.groupBy("event_id", "symbol", "t0", "t1").agg(F.min(F.when(F.col("r") < sl, F.col("ts"))).alias("sl_ts"), F.min(F.when(F.col("r") > pt, F.col("ts"))).alias("pt_ts"))
     first = F.least("sl_ts", "t1", "pt_ts")
     return g.select("event_id", "symbol", "t0", "sl_ts", "pt_ts", first.alias("t1"), F.when(F.col("sl_ts") == first, -1).when(F.col("t1") == first, 0).otherwise(1).alias("bin"))
@@ -79,7 +79,7 @@ def triple_barrier(events: DataFrame, bars: DataFrame, sl: float, pt: float) ->
 
 def over_cross_section(panel: DataFrame, k: int = 1, median: bool = False, binary: bool = False) -> DataFrame:
     """``ts, asset, excess``: forward k-step return less the mean (or median) of all assets at that time; its sign if ``binary``."""
-    d = rolling(panel.select(F.col("asset").alias("symbol"), "ts", F.lit(0).alias("tie"), "price"), lambda w: {"r": F.lead("price", k).over(w) / F.col("price") - 1}, ahead=k)
+    d = rolling(panel.select(F.col("asset").alias("symbol"), "ts", F.lit(0).alias("tie"), "price"), lambda w: {"r": F.try_divide(F.lead("price", k).over(w), F.col("price")) - 1}, ahead=k)
     d = d.filter("r is not null")
     m = d.groupBy("ts").agg((F.median if median else F.avg)("r").alias("m"))
     x = F.col("r") - F.col("m")
@@ -111,7 +111,7 @@ def trend_scan(bars: DataFrame, window: int, least: int, step: int) -> DataFrame
         for n in lengths:
             f = w.rowsBetween(0, n - 1)
             sxx, sxy, syy = F.regr_sxx(y, x).over(f), F.regr_sxy(y, x).over(f), F.regr_syy(y, x).over(f)
-            b = sxy / sxx
+            b = F.try_divide(sxy, sxx)
             t = F.try_divide(b, F.sqrt(F.try_divide(F.greatest(syy - b * sxy, F.lit(0.0)) / (n - 2), sxx)))
             out[f"_t{n}"] = F.struct(F.abs(t).alias("a"), F.lit(-n).alias("n"), t.alias("t"), F.last("ts").over(f).alias("t1"), F.last("price").over(f).alias("p1"))
         return out
@@ -119,7 +119,7 @@ def trend_scan(bars: DataFrame, window: int, least: int, step: int) -> DataFrame
     d = rolling(bars, make, ahead=window).filter(F.col("_have") == window)
     best = F.array_max(F.filter(F.array(*[F.col(f"_t{n}") for n in lengths]), lambda s: s["a"].isNotNull()))
     d = d.withColumn("_best", best).filter("_best is not null")
-    return d.select("symbol", "ts", F.col("_best.t1").alias("t1"), F.col("_best.t").alias("t_value"), (F.col("_best.p1") / F.col("price") - 1).alias("ret"), F.signum("_best.t").alias("bin"))
+    return d.select("symbol", "ts", F.col("_best.t1").alias("t1"), F.col("_best.t").alias("t_value"), (F.try_divide(F.col("_best.p1"), F.col("price")) - 1).alias("ret"), F.signum("_best.t").alias("bin"))
 
 
 def concurrency(events: DataFrame, bars: DataFrame) -> DataFrame:

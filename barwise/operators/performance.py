@@ -92,7 +92,7 @@ def rewards(df: DataFrame, n: int, a: float = 0.1, change_cost: float = 0.0, pen
     ``penalty_sign`` -1) a cost per unit of changed position."""
 
     def make(w) -> dict[str, Column]:  # noqa: ANN001
-        step = F.lead("price", n).over(w) / F.col("price") - 1
+        step = F.try_divide(F.lead("price", n).over(w), F.col("price")) - 1
         changed = F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0)))
         return {"reward": exponential(F.col("position") * step, a) + penalty_sign * change_cost * changed}
 

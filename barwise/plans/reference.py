@@ -649,10 +649,10 @@ def codep_histogram(spark, sf):  # noqa: ANN001, ANN201
     return D.histogram_distance(_xy(spark, sf), ["g"], 5.0)
 
 
-@query("g", sql="select g, case when k > 0 then k end as bins from (select g, trunc((log2(count(*)) + 1) * (1 - 2 * abs(corr(x, y))))::bigint as k from (select g, x, (row_number() over (order by g, x, y) % 97)::double as y from xy) group by g)", ctes=_XY, longs="bins")
+@query("g", sql="select g, case when k > 0 then k end as bins from (select g, trunc((log2(count(*)) + 1) * (1 - 2 * abs(corr(x, y))))::bigint as k from (select l_returnflag as g, l_quantity::double as x, l_tax as y from lineitem) group by g)", longs="bins")
 def codep_optimal_bins(spark, sf):  # noqa: ANN001, ANN201
-    y = F.pmod(F.row_number().over(W.orderBy("g", "x", "y")), F.lit(97)).cast("double")
-    g = _xy(spark, sf).select("g", "x", y.alias("y")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("double").alias("x"), F.col("l_tax").alias("y"))
+    g = li.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
     return g.select("g", D.optimal_bins(F.col("n"), F.col("r")).alias("bins"))
 
 
