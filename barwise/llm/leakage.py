@@ -197,7 +197,8 @@ def overlap(index: Index, item_no: int, text: np.ndarray, rule: LeakRule) -> tup
     return int(covered.sum()), passages, matched / max(1, int(covered.sum()))
 
 
-MAX_ITEMS = 20_000
+#: Items and characters of an index shard at most: the index holds one impact per term and item.
+MAX_ITEMS, MAX_CHARS = 500, 4_000_000
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", rule: LeakRule | None = None) -> DataFrame:
@@ -208,8 +209,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     punctuation, spacing, line breaks, hyphenation, look-alike characters, scanning errors
     and reference signs make no difference, and about one word in five may differ.
 
-    The index is shipped to the executors; its size is checked, and beyond ``MAX_ITEMS``
-    items are indexed in shards, with one scan of the documents and term statistics for
+    The index is shipped to the executors; its size is checked, and beyond ``MAX_ITEMS`` items
+    or ``MAX_CHARS`` characters they are indexed in shards, with one scan of the documents and term statistics for
     each.  Null and empty texts hold nothing, items shorter than ``least_words`` cannot be
     leaked, items that repeat under several ids are reported for each, repeated documents
     likewise; texts of any length are read whole; empty tables give no rows.
@@ -223,7 +224,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     parts: list[list[tuple[int, str]]] = []
     for r in rows.toLocalIterator():
         shard.append((r[0], r[1]))
-        if len(shard) == MAX_ITEMS:
+        if len(shard) >= MAX_ITEMS or sum(len(t) for _, t in shard) >= MAX_CHARS:
             parts.append(shard)
             shard = []
     for part in [*parts, *([shard] if shard else [])]:
