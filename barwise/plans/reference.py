@@ -914,7 +914,7 @@ _CAP = _FLOW + """, uc as (select *, round(capital, 4) as cap from pp), uw as (s
 
 
 def _capital(spark: SparkSession, sf: str) -> DataFrame:
-    return P.positions(_p(spark, sf), _flow(spark, sf)).withColumn("cap", F.round("capital", 4)).select("symbol", "ts", "tie", "price", "cap", "net_position", "long_fix_profit")
+    return P.positions(_p(spark, sf), _flow(spark, sf)).withColumn("cap", F.round("capital", 4)).select("symbol", "ts", "tie", "rn", "price", "cap", "net_position", "long_fix_profit")
 
 
 @query("symbol start_ts end_ts", "minutes position_minutes", """select symbol, streak_id, min(ts) as start_ts, max(ts) as end_ts, count(*) as rows, (epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7 as minutes,
