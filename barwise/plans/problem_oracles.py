@@ -51,3 +51,67 @@ ORACLES = {
     + """, i as (select *, sum(nw) over (partition by symbol order by s, e rows unbounded preceding) as g from n)
          select symbol, min(s) // 1000000 as period_start, max(e) // 1000000 as period_end, count(*)::bigint as intervals from i group by symbol, g""",
 }
+
+_TICKS = """
+    with v as (select record_id, payload::json as j from tick_payloads where json_valid(payload)),
+    a as (select record_id, case when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else [j] end as roots from v),
+    r as (select record_id, unnest(roots) as r, generate_subscripts(roots, 1) as gi from a),
+    g as (select record_id, gi, coalesce(r->>'$.batch.symbol', r->>'$.symbol', r->>'$.meta.symbol') as outer_symbol,
+                 case when json_type(r, '$.batch.ticks') = 'ARRAY' then json_extract(r, '$.batch.ticks[*]') when json_type(r, '$.ticks') = 'ARRAY' then json_extract(r, '$.ticks[*]')
+                      when json_type(r, '$.data') = 'ARRAY' then json_extract(r, '$.data[*]') else [r] end as ticks from r where json_type(r) = 'OBJECT'),
+    u as (select record_id, gi, outer_symbol, unnest(ticks) as t, generate_subscripts(ticks, 1) as ti from g),
+    n as (select record_id, row_number() over (partition by record_id order by gi, ti) as tick_no, coalesce(t->>'$.symbol', outer_symbol) as symbol, t,
+                 case when json_type(t, '$.quotes') = 'VARCHAR' then (t->>'$.quotes')::json else json_extract(t, '$.quotes') end as q from u)
+"""
+_LEVELS = (
+    _TICKS
+    + """, l as (select record_id, tick_no, symbol, unnest(json_extract(q, '$[*]')) as x, generate_subscripts(json_extract(q, '$[*]'), 1)::int as level_no from n where json_type(q) = 'ARRAY'
+    union all select record_id, tick_no, symbol, json_extract(q, '$."' || k || '"') as x, k::int as level_no from (select *, unnest(json_keys(q)) as k from n where json_type(q) = 'OBJECT') where regexp_full_match(k, '[0-9]+')
+    union all select record_id, tick_no, symbol, q as x, 1 as level_no from n where json_type(q) = 'OBJECT' and len(json_keys(q)) > 0 and not regexp_full_match(json_keys(q)[1], '[0-9]+'))
+"""
+)
+ORACLES |= {
+    "p1_found": _LEVELS + "select record_id, tick_no::int as tick_no, symbol, level_no from l where json_type(x) = 'OBJECT'",
+    "p1_levels": _LEVELS
+    + """select record_id, tick_no::int as tick_no, symbol, level_no, try_cast(x->>'$.bid_p' as double) as bid_p, try_cast(x->>'$.bid_v' as double) as bid_v,
+         try_cast(x->>'$.ask_p' as double) as ask_p, try_cast(x->>'$.ask_v' as double) as ask_v from l where json_type(x) = 'OBJECT'""",
+    "p1_ticks": _TICKS
+    + """select record_id, tick_no::int as tick_no, symbol,
+         case when regexp_full_match(t->>'$.created_at', '[0-9]{12,}') then make_timestamp((t->>'$.created_at')::bigint * 1000)
+              else try_cast(replace(replace(t->>'$.created_at', 'Z', ''), 'T', ' ') as timestamp) end as created_at,
+         """
+    + ", ".join(f"try_cast(t->>'$.{c}' as double) as {c}" for c in ("price", "last_volume"))
+    + ", try_cast(t->>'$.trade_type' as int) as trade_type, "
+    + ", ".join(f"try_cast(t->>'$.{c}' as double) as {c}" for c in ("cum_volume", "cum_amount", "cum_position"))
+    + " from n",
+    "p1_records": _TICKS
+    + """select p.record_id, coalesce(json_valid(payload), false) as valid, coalesce(c, 0)::bigint as ticks from tick_payloads p
+         left join (select record_id, count(*) as c from n group by record_id) k on k.record_id = p.record_id""",
+}
+
+# The same judgement with exact quantiles in place of mergeable sketches (whose bins are 2 % wide).
+ORACLES["p3_found"] = """
+    with long as (
+        select bar_id, symbol, bob, 'close' as field, close as v, coalesce(close <= 0 or close < low - 1e-9 * abs(close) or close > high + 1e-9 * abs(close), close <= 0) as bad from bars
+        union all select bar_id, symbol, bob, 'volume', volume, volume < 0 from bars
+        union all select bar_id, symbol, bob, 'position', position, position < 0 from bars),
+    ok as (select * from long where v is not null and not isnan(v)),
+    rep as (select symbol, field, bob, arg_min(v, bar_id) as y from ok where not bad and symbol is not null and bob is not null group by all),
+    s as (select *, lag(y) over w as py, median(y) over (partition by symbol, field order by bob rows between 5 preceding and 5 following) as med, count(*) over (partition by symbol, field) as n
+          from rep window w as (partition by symbol, field order by bob)),
+    r as (select *, sum((py is null or y <> py)::int) over (partition by symbol, field order by bob rows unbounded preceding) as run from s),
+    rl as (select symbol, field, run, count(*) as len from r group by all),
+    fz as (select symbol, field, min(len) as least from (select *, lag(len) over (partition by symbol, field order by len) as below from (select distinct symbol, field, len from rl))
+           where len >= 10 and len > 2 * coalesce(below, 1) group by all),
+    sc as (select symbol, field, coalesce(nullif(quantile_disc(abs(y - py), 0.75), 0), quantile_disc(abs(y - py), 0.75) filter (where y <> py)) as scale from s where py is not null and n >= 8 group by all),
+    z as (select *, ln(y) as lv, hour(bob) as h from s where field = 'volume' and y > 0),
+    zs as (select symbol, quantile_disc(lv, 0.25) as s1, quantile_disc(lv, 0.75) as s3, count(*) as sn from z group by symbol),
+    zh as (select symbol, h, quantile_disc(lv, 0.25) as h1, quantile_disc(lv, 0.75) as h3, count(*) as hn from z group by all),
+    hits as (
+        select symbol, field, bob, y from r join rl using (symbol, field, run) join fz using (symbol, field) where len >= least and y = py
+        union select symbol, field, bob, y from s join sc using (symbol, field) where (field = 'close' and abs(y - med) > 9 * scale) or (field = 'position' and abs(y - med) > 20 * scale)
+        union select symbol, field, bob, y from z join zs using (symbol) join zh using (symbol, h)
+              where sn >= 8 and lv > s3 + 3.4 * greatest(s3 - s1, 0.05) and (hn < 30 or lv > h3 + 2.6 * greatest(h3 - h1, 0.2)))
+    select bar_id, field from ok where bad
+    union select ok.bar_id, ok.field from ok join hits on hits.symbol = ok.symbol and hits.field = ok.field and hits.bob = ok.bob and hits.y = ok.v
+"""
