@@ -269,20 +269,21 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
     A first model shows which harmless windows look suspicious to it; words that mostly
     stand in such windows then get a say as well, and the chain is fitted with them.
     """
-    _, more = _train(texts, toxic, seed, (set(), set()), 1)
-    return _train(texts, toxic, seed, more, ROUNDS)[0]
+    docs = [[folded(w) for w in tokens(t)] for t in texts]
+    _, more = _train(docs, toxic, seed, (set(), set()), 1)
+    return _train(docs, toxic, seed, more, ROUNDS)[0]
 
 
-def _train(texts: list[str], toxic: np.ndarray, seed: int, extra: tuple[set, set], rounds: int) -> tuple[Chain, tuple[set, set]]:
+def _train(docs: list[list[str]], toxic: np.ndarray, seed: int, extra: tuple[set, set], rounds: int) -> tuple[Chain, tuple[set, set]]:
     """The chain, and words and word pairs typical of the harmless windows it finds suspicious."""
     seeds = {w: c for c, ws in SEEDS.items() for w in (folded(tokens(x)[0]) for x in ws if tokens(x))}
-    docs = [[folded(w) for w in tokens(t)] for t in texts]
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
     df: list[Counter] = [Counter(), Counter()]
     pf: list[Counter] = [Counter(), Counter()]
     for d, y in zip(docs, toxic):
         df[int(y)].update(set(d))
-        pf[int(y)].update(set(zip(d, d[1:])))
+        if y:
+            pf[1].update(set(zip(d, d[1:])))
 
     share = n_pos / (n_pos + n_neg)
 
@@ -298,7 +299,12 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int, extra: tuple[set, set
     # word stands in harmless ones; the rest of the vocabulary has no say
     least, sure, more = (4, 3.5, 1.1) if n_pos >= 300 else (2, 2.0, 0.7)
     words = {w for w, c in df[1].items() if c >= least and excess(df, w) >= sure and odds(df, w) >= more} | set(seeds) | extra[0]
-    typical = [p for p, c in pf[1].items() if c >= least and excess(pf, p) >= sure and odds(pf, p) >= more]
+    # of the many pairs of harmless documents only those are counted that can matter
+    often = {p for p, c in pf[1].items() if c >= least}
+    for d, y in zip(docs, toxic):
+        if not y:
+            pf[0].update({p for p in zip(d, d[1:]) if p in often or (p[0] in words) != (p[1] in words)})
+    typical = [p for p in often if excess(pf, p) >= sure and odds(pf, p) >= more]
     beside = [p for p, c in pf[0].items() if c >= 2 and (p[0] in words) != (p[1] in words)]
     wanted = set(typical) | set(beside) | extra[1]
     # members of pairs need a number, but get no weight of their own unless they are such words
@@ -420,7 +426,9 @@ def _train(texts: list[str], toxic: np.ndarray, seed: int, extra: tuple[set, set
             if toxic[doc_of[j]] == 0 and score[j] > -2.5:
                 hard[0].update(set(flat[j : end[j]]))
                 hard[1].update(set(zip(flat[j : end[j]], flat[j + 1 : end[j]])))
-    typical = tuple({w for w, c in h.items() if c >= least and c >= 0.25 * (n[0][w] + n[1][w])} for h, n in zip(hard, (df, pf)))
+    seen = {p for p, c in hard[1].items() if c >= least}
+    total = Counter(p for d in docs for p in set(zip(d, d[1:])) & seen)
+    typical = ({w for w, c in hard[0].items() if c >= least and c >= 0.25 * (df[0][w] + df[1][w])}, {p for p in seen if hard[1][p] >= 0.25 * total[p]})
     return model, typical
 
 
