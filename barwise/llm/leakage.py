@@ -5,8 +5,10 @@ impact overall and in each block of items.  Every passage (overlapping windows o
 of every document is a query.  As in block-max WAND, work stops as early as the bounds
 allow: a passage whose summed term maxima miss every item's threshold is dropped, then single
 blocks of items are dropped by their block maxima, and only what is left is scored.  The
-bounds are never below the score, so everything above the threshold is retrieved.  Each
-retrieved (document, item) pair is then verified by local alignment of the words.
+bounds are never below the score, so everything above the threshold is retrieved.  Short
+passages that only together make up a leak are retrieved by the word pairs the whole document
+shares with an item in the item's order.  Each retrieved (document, item) pair is then
+verified by local alignment of the words.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from barwise.llm.words import folded, words
 
 K1, B = 1.2, 0.75
 WINDOW, STRIDE, BLOCK = 40, 20, 16
+RUN_PAIRS, LEAST_PAIRS, SHIFT = 3, 8, 4
 
 
 @dataclass(frozen=True)
@@ -83,6 +86,11 @@ class Index:
         known, in_items = np.unique(np.concatenate([*pairs, np.array([], "int64")]), return_counts=True)
         common = known[in_items > max(3, 0.08 * n)]  # word pairs of the items' shared wording
         self.bigrams = [np.setdiff1d(p, common) for p in pairs]
+        # every place of every word pair of every item, in order of the pair
+        place = np.concatenate([*[w[:-1].astype("int64") * max(1, v) + w[1:] for w in self.words], np.array([], "int64")])
+        order = np.argsort(place, kind="stable")
+        self.pair, self.pair_item = place[order], np.repeat(np.arange(n), [max(0, len(w) - 1) for w in self.words])[order]
+        self.pair_at = np.concatenate([*[np.arange(max(0, len(w) - 1)) for w in self.words], np.array([], "int64")])[order]
         k = rule.least_words
         weakest = [min((self.impact[np.unique(w[j : j + k]), i].sum() for j in range(len(w) - k + 1)), default=np.inf) for i, w in enumerate(self.words)]
         self.threshold = (rule.part * np.array(weakest, "float64")).astype("float32") if n else np.array([], "float32")
@@ -138,6 +146,44 @@ class Index:
         found = np.unique(np.concatenate(pairs)) if pairs else np.array([], "int64")
         return found // max(1, len(self.ids)), found % max(1, len(self.ids))
 
+    def scattered(self, ids: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) pairs whose shared word pairs, added up over the whole document, may make up a leak.
+
+        Shared pairs count where at least ``RUN_PAIRS`` of them follow each other as in the item, with up to ``SHIFT``
+        words added or missing in between: a passage of 8 words of which two are changed still has three pairs, and
+        passages of 20 words in all of which 28 % are changed keep at least ``LEAST_PAIRS``.
+        """
+        none = np.array([], "int64"), np.array([], "int64")
+        if len(ids) < 2 or not len(self.pair):
+            return none
+        n, longest = len(self.ids), max(len(w) for w in self.words)
+        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        ends = doc_start[1:] - 1
+        both[ends[(ends >= 0) & (ends < len(both))]] = False
+        at = np.flatnonzero(both)
+        key = ids[at].astype("int64") * len(self.idf) + ids[at + 1]
+        lo = np.searchsorted(self.pair, key)
+        at, key, lo = (x[self.pair[np.minimum(lo, len(self.pair) - 1)] == key] for x in (at, key, lo))
+        if not len(at):
+            return none
+        count = np.searchsorted(self.pair, key, "right") - lo
+        row = np.repeat(np.arange(len(at)), count)
+        hit = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(row))
+        pos, item, place = at[row], self.pair_item[hit], self.pair_at[hit]
+        doc = np.searchsorted(doc_start, pos, "right") - 1
+        who = doc * np.int64(n) + item
+        # a passage is a run of hits that lie on (nearly) one diagonal of document and item
+        width = len(ids) + longest + SHIFT + 2
+        diagonal = who * np.int64(width) + (pos - place + longest)
+        order = np.argsort(diagonal, kind="stable")
+        run = np.cumsum(np.r_[0, np.diff(diagonal[order]) > SHIFT])
+        at_item = np.unique(run * np.int64(longest) + place[order])  # a place of the item counts once in a run
+        keep = np.bincount(at_item // longest, minlength=run[-1] + 1) >= RUN_PAIRS
+        places = np.unique(who[order][keep[run]] * np.int64(longest) + place[order][keep[run]])
+        found, pairs = np.unique(places // longest, return_counts=True)
+        found = found[pairs >= LEAST_PAIRS]
+        return found // n, found % n
+
 
 GAP = 0.6
 BREAK = 8  # an alignment that skips more words than this is two passages
@@ -246,7 +292,9 @@ def _search(source: DataFrame, index: Index, rule: LeakRule, schema: str) -> Dat
                 size.append(len(ws))
             ids = np.array(flat, "int32")
             start = np.cumsum(size) - size if size else np.array([], int)
-            docs, found = ix.candidates(ids, np.asarray(start, "int64"))
+            docs, found = (np.concatenate(x) for x in zip(ix.candidates(ids, np.asarray(start, "int64")), ix.scattered(ids, np.asarray(start, "int64"))))
+            both = np.unique(docs * np.int64(max(1, len(ix.ids))) + found)
+            docs, found = both // max(1, len(ix.ids)), both % max(1, len(ix.ids))
             hits = []
             for d, i in zip(docs.tolist(), found.tolist()):
                 part = ids[start[d] : start[d] + size[d]]

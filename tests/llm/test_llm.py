@@ -109,6 +109,19 @@ def test_leaks_in_shards_and_empty(spark, monkeypatch):
     assert leaks(spark, []) == set() and leaks(spark, [ITEM], []) == set()
 
 
+def test_leaks_in_short_scattered_passages(spark):
+    """A whole item in passages of 8 to 10 words far apart, as it is and with every fifth word changed."""
+    rng = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in ("mor", "tel", "vis", "kan") for b in ("da", "lo", "ri", "ne", "su") for c in ("ban", "tor", "mel", "gis", "pur")]
+    items = [(i, " ".join(rng.choices(vocabulary, k=80))) for i in range(12)]
+    fifth = [w if k % 5 != 2 else "other" for k, w in enumerate(items[0][1].split())]
+    texts = []
+    for ws in (items[0][1].split(), fifth):
+        for n in (8, 10):
+            texts.append(FILL.join(" ".join(ws[i : i + n]) + ". " for i in range(0, 80, n)))
+    assert leaks(spark, [*texts, FILL + " ".join(items[0][1].split()[:10]) + FILL], items) == {(d, 0) for d in range(4)}
+
+
 def test_bounds_lose_no_candidate():
     """Whatever is scored exhaustively above the threshold is retrieved through the bounds."""
     rng = random.Random(0)
