@@ -13,7 +13,7 @@ verified by local alignment of the words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,8 @@ class LeakRule:
     of which the share ``agree`` agree (``agree_weight`` when words count by their rarity).
     ``least_bigrams`` is a bound, not a further condition: 20 words of which every third
     differs still share five neighbouring pairs with the item, and pairs are only aligned
-    word by word if they share as many."""
+    word by word if they share as many.  All pairs of the item count, also those of many
+    items, so that repeated items and the number of items make no difference."""
 
     part: float = 0.8
     least_words: int = 20
@@ -83,9 +84,7 @@ class Index:
         self.term_max = np.append(self.impact.max(1) if n else np.zeros(v), 0).astype("float32")
         self.vocabulary = _Vocabulary(terms)
         pairs = [np.unique(w[:-1].astype("int64") * max(1, v) + w[1:]) for w in self.words]
-        known, in_items = np.unique(np.concatenate([*pairs, np.array([], "int64")]), return_counts=True)
-        common = known[in_items > max(3, 0.08 * n)]  # word pairs of the items' shared wording
-        self.bigrams = [np.setdiff1d(p, common) for p in pairs]
+        self.bigrams = pairs
         # every place of every word pair of every item, in order of the pair
         place = np.concatenate([*[w[:-1].astype("int64") * max(1, v) + w[1:] for w in self.words], np.array([], "int64")])
         order = np.argsort(place, kind="stable")
@@ -99,7 +98,7 @@ class Index:
         self.block_threshold = padded_t.reshape(blocks, BLOCK).min(1)
 
     def shared_bigrams(self, item_no: int, text: np.ndarray) -> int:
-        """How many of the item's own word pairs (not those of a wording many items share) stand side by side in the text as well."""
+        """How many of the item's word pairs, those of a wording many items share among them, stand side by side in the text as well."""
         pair = text[:-1].astype("int64") * len(self.idf) + text[1:]
         pair = pair[(text[:-1] >= 0) & (text[1:] >= 0)]
         own = self.bigrams[item_no]
@@ -189,17 +188,25 @@ GAP = 0.6
 BREAK = 8  # an alignment that skips more words than this is two passages
 
 
-def _align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
-    """Best local alignment: score and the matched (item, text) positions in order."""
-    m, n = len(item), len(text)
-    h = np.zeros((m + 1, n + 1), "float32")
+def _align(items: list[np.ndarray], texts: list[np.ndarray]) -> list[tuple[float, list[tuple[int, int]]]]:
+    """Best local alignment of each item with its text: score and the matched (item, text) positions in order."""
+    m, n, c = max(len(x) for x in items), max(len(x) for x in texts), len(items)
+    item, text = np.full((m, c, 1), -9, "int32"), np.full((c, n), -8, "int32")
+    for k, (x, t) in enumerate(zip(items, texts)):
+        item[: len(x), k, 0], text[k, : len(t)] = x, t
+    h = np.zeros((m + 1, c, n + 1), "float32")
     ramp = np.arange(n + 1, dtype="float32") * GAP
     for i in range(1, m + 1):
         s = np.where(text == item[i - 1], np.float32(1), np.float32(-GAP))
         row = np.maximum(h[i - 1] - GAP, 0)
-        np.maximum(row[1:], h[i - 1, :-1] + s, out=row[1:])
-        h[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = divmod(int(h.argmax()), n + 1)
+        np.maximum(row[:, 1:], h[i - 1, :, :-1] + s, out=row[:, 1:])
+        h[i] = np.maximum.accumulate(row + ramp, axis=1) - ramp
+    last = h.max(2).argmax(0)
+    return [_trace(h[: len(x) + 1, k, : len(t) + 1], x, t, int(last[k])) for k, (x, t) in enumerate(zip(items, texts))]
+
+
+def _trace(h: np.ndarray, item: np.ndarray, text: np.ndarray, i: int) -> tuple[float, list[tuple[int, int]]]:
+    j = int(h[i].argmax())
     best, pairs = float(h[i, j]), []
     while i and j and h[i, j] > 1e-3:
         if text[j - 1] == item[i - 1] and abs(h[i, j] - h[i - 1, j - 1] - 1) < 1e-3:
@@ -215,10 +222,36 @@ def _align(item: np.ndarray, text: np.ndarray) -> tuple[float, list[tuple[int, i
 
 
 SEGMENT, OVERLAP = 3000, 400
+#: Cells of a row of alignments that are worked out side by side.
+SIDE_BY_SIDE = 60_000
+
+
+def overlaps(index: Index, found: list[tuple[int, np.ndarray]], rule: LeakRule) -> list[tuple[int, int, float]]:
+    """For each (item number, text): (words of the item covered, passages, share of them that agree) over all passages that agree well enough."""
+    out: list[tuple[int, int, float]] = [(0, 0, 0.0)] * len(found)
+    asked = []
+    for no, (item_no, text) in enumerate(found):
+        asked.append((no, one := _overlap(index, item_no, text, rule), next(one)))
+    while asked:
+        asked.sort(key=lambda a: len(a[2][1]))
+        more, lo = [], 0
+        while lo < len(asked):
+            hi = lo + 1
+            while hi < len(asked) and (hi + 1 - lo) * len(asked[hi][2][1]) <= SIDE_BY_SIDE:
+                hi += 1
+            part = asked[lo:hi]
+            for (no, one, _), got in zip(part, _align([a[2][0] for a in part], [a[2][1] for a in part])):
+                try:
+                    more.append((no, one, one.send(got)))
+                except StopIteration as end:
+                    out[no] = end.value
+            lo = hi
+        asked = more
+    return out
 
 
-def overlap(index: Index, item_no: int, text: np.ndarray, rule: LeakRule) -> tuple[int, int, float]:
-    """(words of the item covered, passages, share of them that agree) over all passages that agree well enough."""
+def _overlap(index: Index, item_no: int, text: np.ndarray, rule: LeakRule) -> Generator[tuple[np.ndarray, np.ndarray], tuple[float, list[tuple[int, int]]], tuple[int, int, float]]:
+    """One of ``overlaps``: asks for the alignments of (item, text) it needs."""
     item = index.words[item_no]
     weight = index.idf[item]
     covered = np.zeros(len(item), bool)
@@ -227,7 +260,7 @@ def overlap(index: Index, item_no: int, text: np.ndarray, rule: LeakRule) -> tup
     for start in range(0, max(1, len(text) - OVERLAP), SEGMENT - OVERLAP):
         part = text[start : start + SEGMENT].copy()
         for _ in range(12):
-            score, pairs = _align(free, part)
+            score, pairs = yield free, part
             if score < 3.5 or len(pairs) < 4:
                 break
             hits = np.array(pairs)
@@ -295,14 +328,10 @@ def _search(source: DataFrame, index: Index, rule: LeakRule, schema: str) -> Dat
             docs, found = (np.concatenate(x) for x in zip(ix.candidates(ids, np.asarray(start, "int64")), ix.scattered(ids, np.asarray(start, "int64"))))
             both = np.unique(docs * np.int64(max(1, len(ix.ids))) + found)
             docs, found = both // max(1, len(ix.ids)), both % max(1, len(ix.ids))
-            hits = []
-            for d, i in zip(docs.tolist(), found.tolist()):
-                part = ids[start[d] : start[d] + size[d]]
-                if ix.shared_bigrams(i, part) < rule.least_bigrams:
-                    continue
-                n, p, share = overlap(ix, i, part, rule)
-                if n >= rule.least_words:
-                    hits.append((d, i, n, p, share))
+            look_at = [(d, i, ids[start[d] : start[d] + size[d]]) for d, i in zip(docs.tolist(), found.tolist())]
+            look_at = [x for x in look_at if ix.shared_bigrams(x[1], x[2]) >= rule.least_bigrams]
+            held = overlaps(ix, [x[1:] for x in look_at], rule)
+            hits = [(d, i, *got) for (d, i, _), got in zip(look_at, held) if got[0] >= rule.least_words]
             d, i, n, p, s = (list(x) for x in zip(*hits)) if hits else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(d, "int64")), pa.array(ix.ids[np.array(i, int)]), pa.array(n, "int32"), pa.array(p, "int32"), pa.array(s, "float64")], names=names

@@ -122,6 +122,15 @@ def test_leaks_in_short_scattered_passages(spark):
     assert leaks(spark, [*texts, FILL + " ".join(items[0][1].split()[:10]) + FILL], items) == {(d, 0) for d in range(4)}
 
 
+@pytest.mark.parametrize("copies, others", [(4, 1), (27, 53)])
+def test_leaks_of_an_item_under_many_ids(spark, copies, others):
+    """An exact copy is reported for every id its item stands under, however many there are."""
+    rng = random.Random(1)
+    vocabulary = [f"{a}{b}{c}" for a in ("mor", "tel", "vis") for b in ("da", "lo", "ri", "ne") for c in ("ban", "tor", "mel", "gis", "pur")]
+    items = [(i, ITEM) for i in range(copies)] + [(100 + i, " ".join(rng.choices(vocabulary, k=50))) for i in range(others)]
+    assert leaks(spark, [FILL + ITEM + FILL, FILL], items) == {(0, i) for i in range(copies)}
+
+
 def test_bounds_lose_no_candidate():
     """Whatever is scored exhaustively above the threshold is retrieved through the bounds."""
     rng = random.Random(0)
