@@ -36,6 +36,9 @@ ROUNDS = 2
 TOP = 3  # windows of a document that take part in training
 #: Labelled documents used for fitting at most (chosen by hash of the id).
 MAX_LABELLED = 10_000
+#: A word or pair is typical of toxic documents from so many of them, standard deviations above chance and log odds on; the
+#: same at every number of labels: what is rare is left to the penalty of the fit.
+LEAST_DOCS, SURE, MORE_ODDS = 2, 2.0, 0.7
 
 # Seed words of the categories, English, German, French.
 SEEDS = {
@@ -297,7 +300,7 @@ def _train(docs: list[list[str]], toxic: np.ndarray, seed: int, extra: tuple[set
 
     # words and pairs known to the model: those typical of toxic documents, and where such a
     # word stands in harmless ones; the rest of the vocabulary has no say
-    least, sure, more = (4, 3.5, 1.1) if n_pos >= 300 else (2, 2.0, 0.7)
+    least, sure, more = LEAST_DOCS, SURE, MORE_ODDS
     words = {w for w, c in df[1].items() if c >= least and excess(df, w) >= sure and odds(df, w) >= more} | set(seeds) | extra[0]
     # of the many pairs of harmless documents only those are counted that can matter
     often = {p for p, c in pf[1].items() if c >= least}

@@ -236,6 +236,20 @@ def test_chain_on_held_out_texts():
     assert chain.scores(["", PATENT[1] * 400])[:, -1].max() < 0.5
 
 
+@pytest.mark.parametrize("toxic_docs", [200, 320])
+def test_toxicity_judges_rare_words_alike_at_every_size(toxic_docs):
+    """Wording of three toxic documents and no harmless one keeps its weight however many labels there are."""
+    rng = random.Random(2)
+    plain = "the lever and spring of housing keep coating even while drum turns on its bearing with little wear".split()
+    fill = lambda n: " ".join(rng.choices(plain, k=n))
+    bad = ["you grobnak drevil" if i % 2 else "you vulmish tarkol" for i in range(toxic_docs - 3)] + ["you skrellish"] * 3
+    texts = [f"{fill(12)} {b} {fill(12)}" for b in bad] + [fill(26) for _ in range(2 * toxic_docs)]
+    y = np.array([1] * toxic_docs + [0] * 2 * toxic_docs)
+    chain = toxicity.train(texts, y)
+    word = chain.terms.get(toxicity.folded("skrellish"), 0)
+    assert word and chain.links[-1][0][word] > 0
+
+
 def test_toxicity_odd_input(spark):
     texts, y = make(80, 3)
     docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (902, texts[0]), (903, "x" * 300_000)], "doc_id long, text string").withColumn("toxic", F.lit("?")).withColumn("source", F.lit(" A-b"))
