@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwise.functions.frames import full, numbered, rolling, running
+from barwise.operators.indicators import frac_diff_weights, weighted_past
 
 
 def ols(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
@@ -253,12 +254,41 @@ def segment(df: DataFrame, value: str, method: str = "pelt", cost: str = "l2", b
 def adf(df: DataFrame, value: str) -> DataFrame:
     """``symbol, statistic, n``: Dickey-Fuller t statistic with constant and one lag, from one aggregation of cross products."""
     d = rolling(df.filter(F.col(value).isNotNull()), lambda w: {"l1": F.lag(value).over(w), "l2": F.lag(value, 2).over(w)}, back=2).filter("l2 is not null")
-    y, a, b = F.col(value) - F.col("l1"), F.col("l1"), F.col("l1") - F.col("l2")
-    m = d.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"), F.covar_pop(a, a).alias("aa"), F.covar_pop(b, b).alias("bb"), F.covar_pop(a, b).alias("ab"), F.covar_pop(y, a).alias("ya"), F.covar_pop(y, b).alias("yb"), F.covar_pop(y, y).alias("yy"))
-    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    ba, bb = (F.col("ya") * F.col("bb") - F.col("yb") * F.col("ab")) / det, (F.col("yb") * F.col("aa") - F.col("ya") * F.col("ab")) / det
-    s2 = (F.col("yy") - ba * F.col("ya") - bb * F.col("yb")) * F.col("n") / (F.col("n") - 3)
-    return m.filter((det > 0) & (F.col("n") > 3)).select("symbol", (ba / F.sqrt(s2 * F.col("bb") / (det * F.col("n")))).alias("statistic"), "n")
+    m = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), _products(value, "l1", "l2").alias("m"))
+    return m.withColumn("statistic", _dickey_fuller("m", "n")).filter("statistic is not null").select("symbol", "statistic", "n")
 
 
+def _products(value: str, l1: str, l2: str) -> Column:
+    """Covariances of the change y of a value, its last level a and its last change b."""
+    y, a, b = F.col(value) - F.col(l1), F.col(l1), F.col(l1) - F.col(l2)
+    return F.struct(F.covar_pop(a, a).alias("aa"), F.covar_pop(b, b).alias("bb"), F.covar_pop(a, b).alias("ab"), F.covar_pop(y, a).alias("ya"), F.covar_pop(y, b).alias("yb"), F.covar_pop(y, y).alias("yy"))
+
+
+def _dickey_fuller(products: str, n: str) -> Column:
+    """t of the last level; null up to three rows and where level and last change do not vary apart."""
+    aa, bb, ab, ya, yb, yy = (F.col(f"{products}.{c}") for c in ("aa", "bb", "ab", "ya", "yb", "yy"))
+    det = aa * bb - ab * ab
+    on_level, on_change = F.try_divide(ya * bb - yb * ab, det), F.try_divide(yb * aa - ya * ab, det)
+    s2 = F.try_divide((yy - on_level * ya - on_change * yb) * F.col(n), F.col(n) - 3)
+    return F.when((det > 0) & (F.col(n) > 3), F.try_divide(on_level, F.sqrt(F.try_divide(s2 * bb, det * F.col(n)))))
+
+
+def min_ffd(df: DataFrame, value: str, steps: int = 11, size: int = 30, least: float = 0.01) -> DataFrame:
+    """``symbol, d, statistic, n, critical, corr`` for d = 0 .. 1: how stationary a series is when differenced by d, and how much of it is left.
+
+    ``statistic`` is that of ``adf``, ``critical`` its 5 % value for n rows (MacKinnon 2010), ``corr`` the correlation with
+    the series itself; the smallest d with statistic below critical is the one to take.  Weights below ``least`` end the sum,
+    as in the original.  All values of d go through one pass.
+    """
+    ds = [k / (steps - 1) for k in range(steps)]
+    weights = [frac_diff_weights(d, size, least) for d in ds]
+    made = rolling(df.filter(F.col(value).isNotNull()), lambda w: {f"_f{k}": weighted_past(value, c, w) for k, c in enumerate(weights)}, back=max(len(c) for c in weights))
+    made = rolling(made, lambda w: {f"_l{j}_{k}": F.lag(f"_f{k}", j).over(w) for k in range(steps) for j in (1, 2)}, back=2)
+    lagged = F.col("_l2_0").isNotNull()
+    moments = [F.struct(F.lit(d).alias("d"), F.corr(value, f"_f{k}").alias("corr"), _products(f"_f{k}", f"_l1_{k}", f"_l2_{k}").alias("m")) for k, d in enumerate(ds)]
+    # rows without both lags have neither, so that covariances leave them out
+    cut = made.select("symbol", value, *[F.when(lagged, F.col(f"_l{j}_{k}")).alias(f"_l{j}_{k}") for k in range(steps) for j in (1, 2)], *[f"_f{k}" for k in range(steps)])
+    cut = cut.groupBy("symbol").agg(F.count("_l2_0").alias("n"), F.array(*moments).alias("_m")).select("symbol", "n", F.explode("_m").alias("_m")).select("symbol", "n", "_m.*")
+    n = F.col("n")
+    critical = F.when(n > 0, F.lit(-2.86154) - F.try_divide(F.lit(2.8903), n) - F.try_divide(F.lit(4.234), n * n) - F.try_divide(F.lit(40.04), n * n * n))
+    return cut.select("symbol", "d", _dickey_fuller("m", "n").alias("statistic"), "n", critical.alias("critical"), "corr")

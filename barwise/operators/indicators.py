@@ -85,7 +85,12 @@ def frac_diff_weights(d: float, size: int, least: float = 1e-5) -> list[float]:
 def frac_diff(df: DataFrame, d: float = 0.4, size: int = 30) -> DataFrame:
     """``frac``: sum of w_k times the price k rows before, with partial sums at the start."""
     weights = frac_diff_weights(d, size)
-    return rolling(df, lambda w: {"frac": sum((F.coalesce(F.lag("price", k).over(w), F.lit(0.0)) * F.lit(c) for k, c in enumerate(weights[1:], 1)), F.col("price") * F.lit(weights[0]))}, back=len(weights))
+    return rolling(df, lambda w: {"frac": weighted_past("price", weights, w)}, back=len(weights))
+
+
+def weighted_past(value: str, weights: Sequence[float], w: WindowSpec) -> Column:
+    """Sum of weight k times the value k rows before, with partial sums at the start."""
+    return sum((F.coalesce(F.lag(value, k).over(w), F.lit(0.0)) * F.lit(c) for k, c in enumerate(weights[1:], 1)), F.col(value) * F.lit(weights[0]))
 
 
 def lag_returns(df: DataFrame, lags: Sequence[int] = (5, 10, 20, 40)) -> DataFrame:

@@ -763,9 +763,9 @@ def sb_ruptures_kernel(spark, sf):  # noqa: ANN001, ANN201
     return K.segment(p, "price", method="kernel", breaks=1, least=3)
 
 
-@query("symbol", "statistic", longs="n")
+@query("symbol d", "statistic critical corr", longs="n")
 def feat_min_ffd(spark, sf):  # noqa: ANN001, ANN201
-    return K.adf(I.frac_diff(V.ticks(spark, sf)).drop("rn"), "frac")
+    return K.min_ffd(V.ticks(spark, sf), "price")
 
 
 # ------------------------------------------------------------------------------------ cross-section and learning

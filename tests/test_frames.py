@@ -143,3 +143,18 @@ def test_adf_tells_walk_from_noise(spark):
     rows = [(s, T0 + dt.timedelta(days=i), i, float(v)) for s, xs in (("walk", np.cumsum(rng.normal(size=400))), ("noise", rng.normal(size=400))) for i, v in enumerate(xs)]
     got = {r["symbol"]: r["statistic"] for r in K.adf(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, tie long, x double"), "x").collect()}
     assert got["noise"] < -8 and got["walk"] > -4
+
+
+def test_min_ffd_sweeps_d(ticks):
+    """Every d from 0 to 1 against a literal regression: statistic and correlation with the series."""
+    x = ticks[1][ticks[1]["symbol"] == "a"]["price"].to_numpy()
+    got = {round(r["d"], 1): r for r in K.min_ffd(ticks[0], "price").collect() if r["symbol"] == "a"}
+    assert sorted(got) == [round(k / 10, 1) for k in range(11)]
+    for d, r in got.items():
+        f = np.convolve(x, I.frac_diff_weights(r["d"], 30, 0.01))[: len(x)]
+        y, level, change = np.diff(f)[1:], f[1:-1], np.diff(f)[:-1]
+        m = np.column_stack([level, change, np.ones(len(y))])
+        beta, rest = np.linalg.lstsq(m, y, rcond=None)[:2]
+        want = beta[0] / np.sqrt(rest[0] / (len(y) - 3) * np.linalg.inv(m.T @ m)[0, 0])
+        assert np.isclose(r["statistic"], want, rtol=1e-5) and np.isclose(r["corr"], np.corrcoef(x, f)[0, 1], rtol=1e-6) and r["n"] == len(y), d
+        assert -2.95 < r["critical"] < -2.86
