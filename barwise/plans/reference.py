@@ -752,9 +752,9 @@ def _segments(name: str, **kw: object) -> None:
 
 
 _segments("sb_ruptures_pelt", method="pelt")
-_segments("sb_ruptures_dynamic", method="dynamic", breaks=3, jump=20)
+_segments("sb_ruptures_dynamic", method="dynamic", breaks=3)
 _segments("sb_ruptures_binary", method="binary", breaks=3)
-_segments("sb_ruptures_bottom_up", method="bottom_up", breaks=3, jump=10)
+_segments("sb_ruptures_bottom_up", method="bottom_up", breaks=3)
 
 
 @query("symbol break_at")

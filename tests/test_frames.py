@@ -158,3 +158,14 @@ def test_min_ffd_sweeps_d(ticks):
         want = beta[0] / np.sqrt(rest[0] / (len(y) - 3) * np.linalg.inv(m.T @ m)[0, 0])
         assert np.isclose(r["statistic"], want, rtol=1e-5) and np.isclose(r["corr"], np.corrcoef(x, f)[0, 1], rtol=1e-6) and r["n"] == len(y), d
         assert -2.95 < r["critical"] < -2.86
+
+
+@pytest.mark.parametrize("name", ["sb_ruptures_dynamic", "sb_ruptures_bottom_up"])
+def test_registered_breaks_keep_the_stride(spark, monkeypatch, name):
+    """The registered searches look at every fifth place, as the operator does by itself."""
+    from barwise.plans import reference
+
+    x = np.repeat([0.0, 9.0, -4.0, 3.0], [65, 70, 80, 65]) + np.random.default_rng(0).normal(0, 0.1, 280)
+    df = spark.createDataFrame([("s", T0 + dt.timedelta(days=i), i, float(v)) for i, v in enumerate(x)], "symbol string, ts timestamp_ntz, tie long, value double")
+    monkeypatch.setattr(reference, "_daily", lambda *_: df)
+    assert sorted(r["break_at"] for r in reference.QUERIES[name](spark, "").collect()) == [65, 135, 215]
