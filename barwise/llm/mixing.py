@@ -68,8 +68,8 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[Column], pa
 def split_tree(copies: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """(shard, source) numbers of block copies: ``copies`` per source dealt out exactly.
 
-    At each node a capacity of copies goes to the left half, which source by source is drawn
-    from the multivariate hypergeometric distribution of what the node holds.
+    At each node a capacity of copies goes to the left half: of every source its expected whole
+    part, and of the remainders as many as a multivariate hypergeometric draw gives.
     """
     out = np.zeros((shards, len(copies)), "int64")
 
