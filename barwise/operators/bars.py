@@ -8,7 +8,9 @@ partition in constant memory, whatever the length of the series.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ METRICS: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
-def _summary(df: DataFrame, bar: str) -> DataFrame:
+def _summary(df: DataFrame, bar: str, *more: Column) -> DataFrame:
     """One row per (symbol, bar) with the statistics every kind of bar carries."""
     value, order = F.col("price") * F.col("volume"), F.struct("ts", "tie")
     side = lambda cond, x: F.sum(F.when(cond, x).otherwise(0))
@@ -39,7 +41,7 @@ def _summary(df: DataFrame, bar: str) -> DataFrame:
         F.count_if(up).alias("long_ticks"), F.count_if(down).alias("short_ticks"),
         F.sum("volume").alias("volume"), side(up, F.col("volume")).alias("long_volume"), side(down, F.col("volume")).alias("short_volume"),
         F.sum(value).alias("dollar"), side(up, value).alias("long_dollar"), side(down, value).alias("short_dollar"),
-        F.max("high").alias("high"), F.min("low").alias("low"), F.min_by("price", order).alias("open"), F.max_by("price", order).alias("close"),
+        F.max("high").alias("high"), F.min("low").alias("low"), F.min_by("price", order).alias("open"), F.max_by("price", order).alias("close"), *more,
     )
 
 
@@ -48,52 +50,77 @@ def time_bars(df: DataFrame, seconds: int) -> DataFrame:
 
     The unfinished last bar is not given.  A symbol whose ticks cross no boundary gives no bars.
     """
-    d = signed_changes(df).withColumn("_q", floor_div(epoch_us("ts"), seconds * 1_000_000))
-    d = rolling(d, lambda w: {"_close": F.coalesce(F.col("_q") > F.lag("_q").over(w), F.lit(False)).cast("long")}, back=1)
-    d = running(d.withColumnRenamed("_close", "closes"), sums={"upto": F.col("closes")}).withColumn("bar", F.col("upto") - F.col("closes"))
-    last = d.groupBy("symbol").agg(F.max("upto").alias("closed"))
-    return _summary(d, "bar").join(last, "symbol").filter("bar < closed").drop("closed")
+    q = floor_div(epoch_us("ts"), seconds * 1_000_000)
+    d = signed_changes(df, lambda w: q > F.lag(q).over(w)).withColumn("bar", F.col("upto") - F.col("mark"))
+    return _summary(d.filter("bar < marked"), "bar")
 
 
 def tick_bars(df: DataFrame, n: int) -> DataFrame:
-    """Bars of ``n`` ticks (at least 2: the first tick never closes a bar); the unfinished last one is not given."""
-    if n < 2:
-        raise ValueError("a tick bar has at least two ticks")
+    """Bars of ``n`` ticks; the first tick never closes one, so that with ``n`` of 1 (or less) the first bar has two.  The unfinished last one is not given."""
+    if n <= 1:
+        d = signed_changes(df).withColumn("bar", F.greatest(F.col("rn") - 1, F.lit(0)))
+        return _summary(d, "bar").filter((F.col("bar") > 0) | (F.col("ticks") == 2))
     return _summary(signed_changes(df).withColumn("bar", floor_div(F.col("rn"), n)), "bar").filter(F.col("ticks") == n)
 
 
-def _folded(d: DataFrame, imbalance: Column, step: Callable[[dict, list[float], list[int]], tuple[list[int], list[bool]]]) -> DataFrame:
+Step = Callable[[dict, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _folded(d: DataFrame, imbalance: Column, step: Step) -> DataFrame:
     """Bars from a fold: ``step(state, imbalances, row numbers)`` gives each row's bar and whether it closes it.
 
-    Rows stream through sorted by symbol and time; between batches only the symbol's state is kept.
+    Rows stream through sorted by symbol and time with their bar added; between batches only the symbol's state is kept.
     """
+    cols = ["symbol", "ts", "tie", "price", "high", "low", "volume", "sign"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, state = None, {}
+        state: dict = {}
         for b in batches:
-            names, rn, x = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(), b.column(2).to_numpy()
+            rn, x = b.column(len(cols)).to_numpy(), b.column(len(cols) + 1).to_numpy()
             bar, closes = np.empty(len(x), "int64"), np.zeros(len(x), bool)
-            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(x)] if len(x) else []
+            edges = np.unique(np.r_[0, np.flatnonzero(rn == 0), len(x)])
             for i, j in zip(edges, edges[1:]):
-                if names[i] != symbol:
-                    symbol, state = names[i], {"bar": 0}
-                bar[i:j], closes[i:j] = step(state, x[i:j].tolist(), rn[i:j].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bar), pa.array(closes)], names=["symbol", "rn", "bar", "closes"])
-
-    rows = d.select("symbol", "rn", imbalance.cast("double").alias("x")).repartition("symbol").sortWithinPartitions("symbol", "rn")
-    made = rows.mapInArrow(run, "symbol string, rn long, bar long, closes boolean")
-    bars = _summary(d.join(made, ["symbol", "rn"]), "bar")
-    done = made.filter("closes").select("symbol", "bar")
-    return bars.join(done, ["symbol", "bar"])
-
-
-def constant_bars(df: DataFrame, metric: str, threshold: float) -> DataFrame:
-    """Bars that close when the running sum of a metric since the last close reaches ``threshold`` (one-sided; what
-    overshoots is not carried over); the first tick of a symbol never closes one, the unfinished last bar is not given."""
-
-    def step(state: dict, x: list[float], rn: list[int]) -> tuple[list[int], list[bool]]:
+                if rn[i] == 0:
+                    state = {"bar": 0}
+                bar[i:j], closes[i:j] = step(state, x[i:j], rn[i:j])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(bar), pa.array(closes)], names=[*cols, "bar", "closes"])
+
+    rows = d.select(*cols, "rn", imbalance.cast("double").alias("x")).repartition("symbol").sortWithinPartitions("symbol", "rn")
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in cols)
+    made = rows.mapInArrow(run, f"{kinds}, bar long, closes boolean")
+    return _summary(made, "bar", F.max("closes").alias("closed")).filter("closed").drop("closed")
+
+
+def _ascending(threshold: float) -> Step:
+    """Closes of a metric that is never negative: from one to the next by a search in the running sum."""
+
+    def step(state: dict, x: np.ndarray, rn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        run, closes, at, open_ = np.cumsum(x), np.zeros(len(x), bool), 0, state.get("sum", 0.0)
+        while at < len(x):
+            base = (run[at - 1] if at else 0.0) - open_
+            # the search finds the place, the sum from the last close on decides at its edge
+            k = max(at, int(np.searchsorted(run, base + threshold)) - 1)
+            while k < len(x) and (run[k] - base < threshold or rn[k] == 0):
+                k += 1
+            if k == len(x):
+                break
+            closes[k] = True
+            at, open_ = k + 1, 0.0
+        state["sum"] = open_ + (float(run[-1]) - (float(run[at - 1]) if at else 0.0)) if at < len(x) else 0.0
+        done = np.cumsum(closes)
+        bar = state["bar"] + done - closes
+        state["bar"] += int(done[-1])
+        return bar, closes
+
+    return step
+
+
+def _two_sided(threshold: float) -> Step:
+    """Closes of a metric of either sign, row by row."""
+
+    def step(state: dict, x: np.ndarray, rn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bar, total, out, closed = state["bar"], state.get("sum", 0.0), [], []
-        for v, i in zip(x, rn):
+        for v, i in zip(x.tolist(), rn.tolist()):
             total += v
             out.append(bar)
             done = total >= threshold and i > 0
@@ -101,50 +128,57 @@ def constant_bars(df: DataFrame, metric: str, threshold: float) -> DataFrame:
             if done:
                 bar, total = bar + 1, 0.0
         state.update(bar=bar, sum=total)
-        return out, closed
+        return np.array(out), np.array(closed)
 
-    d = signed_changes(df)
-    return _folded(d, METRICS[metric](F.col("price"), F.col("volume"), F.col("sign")), step)
+    return step
+
+
+def constant_bars(df: DataFrame, metric: str, threshold: float) -> DataFrame:
+    """Bars that close when the running sum of a metric since the last close reaches ``threshold`` (one-sided; what
+    overshoots is not carried over); the first tick of a symbol never closes one, the unfinished last bar is not given."""
+    step = _two_sided(threshold) if metric.startswith("signal") else _ascending(threshold)
+    return _folded(signed_changes(df), METRICS[metric](F.col("price"), F.col("volume"), F.col("sign")), step)
+
+
+def decaying(weight: float, size: int) -> list[float]:
+    """``size`` weights for values from old to new: of what the newer ones leave of 1 each takes the share ``weight``; in all 1."""
+    left, out = 1.0, []
+    for _ in range(size):
+        out.append(left * weight)
+        left -= out[-1]
+    return [w / (1.0 - left) for w in reversed(out)]
 
 
 def ema_bars(df: DataFrame, metric: str, expected_ticks: float, expected_imbalance: float, weight: float = 0.8, size: int = 5) -> DataFrame:
     """Bars whose threshold follows the data: expected imbalance per tick times expected ticks per bar.
 
-    After a close both expectations become weighted means of the last ``size`` tick imbalances
-    and bar lengths, once there are as many; the latest weighs most.  A bar's length is the
-    distance between closing ticks, the first one counting from the first tick.
+    After a close both expectations become means, weighted by :func:`decaying`, of the last ``size`` tick imbalances
+    and bar lengths, once there are as many.  A bar's length is the distance between closing
+    ticks, the first one counting from the first tick.
     """
-    w = np.array([weight * (1 - weight) ** i for i in range(size)])[::-1]
-    w = (w / w.sum()).tolist()
-
-    def step(state: dict, x: list[float], rn: list[int]) -> tuple[list[int], list[bool]]:
-        if "sum" not in state:
-            state.update(sum=0.0, ticks=float(expected_ticks), imbalance=float(expected_imbalance), recent=[], lengths=[], last=0)
-        bar, total, recent, lengths = state["bar"], state["sum"], state["recent"], state["lengths"]
-        out, closed = [], []
-        for v, i in zip(x, rn):
+    w = decaying(weight, size)
+
+    def mean(values: deque, default: float) -> float:
+        return sum(map(mul, w, values)) if len(values) == size else default
+
+    def step(state: dict, x: np.ndarray, rn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total, level, recent, lengths, last = state.get("fold") or (0.0, (float(expected_imbalance), float(expected_ticks)), deque(maxlen=size), deque(maxlen=size), 0)
+        closed = []
+        for v, i in zip(x.tolist(), rn.tolist()):
             total += v
             recent.append(v)
-            if len(recent) > size:
-                recent.pop(0)
-            out.append(bar)
-            done = total >= state["imbalance"] * state["ticks"]
-            closed.append(done)
-            if done:
-                lengths.append(float(i - state["last"]))
-                if len(lengths) > size:
-                    lengths.pop(0)
-                state["last"] = i
-                if len(recent) >= size:
-                    state["imbalance"] = sum(a * b for a, b in zip(w, recent))
-                if len(lengths) >= size:
-                    state["ticks"] = sum(a * b for a, b in zip(w, lengths))
-                bar, total = bar + 1, 0.0
-        state.update(bar=bar, sum=total)
-        return out, closed
+            closed.append(total >= level[0] * level[1])
+            if closed[-1]:
+                lengths.append(float(i - last))
+                total, level, last = 0.0, (mean(recent, level[0]), mean(lengths, level[1])), i
+        state["fold"] = (total, level, recent, lengths, last)
+        closes = np.array(closed, bool)
+        done = np.cumsum(closes)
+        bar = state["bar"] + done - closes
+        state["bar"] += int(done[-1])
+        return bar, closes
 
-    d = signed_changes(df)
-    return _folded(d, METRICS[metric](F.col("price"), F.col("volume"), F.col("sign")), step)
+    return _folded(signed_changes(df), METRICS[metric](F.col("price"), F.col("volume"), F.col("sign")), step)
 
 
 def resample_last(df: DataFrame, seconds: int, columns: list[str]) -> DataFrame:
@@ -167,7 +201,6 @@ def bars_at(df: DataFrame, ends: DataFrame) -> DataFrame:
     mark = F.col("_t").isNull()
     # a tick belongs to the next close, and the closing tick is the first one after the mark
     d = rolling(d, lambda w: {"closer": F.coalesce(~mark & F.lag(mark).over(w), F.lit(False)).cast("long")}, back=1)
-    d = running(d, sums={"upto": F.col("closer")}).withColumn("bar", F.col("upto") - F.col("closer")).filter(F.col("_t") == 1)
-    closed = d.filter("closer = 1").select("symbol", "bar")
-    g = d.groupBy("symbol", "bar").agg(F.count(F.lit(1)).alias("ticks"), F.sum("volume").alias("volume"), F.max("ts").alias("end_ts"), F.max_by("price", F.struct("ts", "tie")).alias("close"))
-    return g.join(closed, ["symbol", "bar"])
+    d = running(d.withColumnRenamed("_t", "tick"), sums={"upto": F.col("closer")}, totals={"upto": "closed"})
+    d = d.withColumn("bar", F.col("upto") - F.col("closer")).filter("tick = 1 and bar < closed")
+    return d.groupBy("symbol", "bar").agg(F.count(F.lit(1)).alias("ticks"), F.sum("volume").alias("volume"), F.max("ts").alias("end_ts"), F.max_by("price", F.struct("ts", "tie")).alias("close"))

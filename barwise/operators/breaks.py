@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwise.functions.frames import full, numbered, rolling, running
+from barwise.functions.special import f_tail, normal
 from barwise.operators.indicators import frac_diff_weights, weighted_past
 
 
@@ -29,30 +30,31 @@ def residuals(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
 
 
 def chow(df: DataFrame, pooled: str, first: str, second: str, y: str, part: str, k: int, by: list[str]) -> DataFrame:
-    """``by, f``: Chow's F of a pooled prediction against two parts' own predictions (``part`` 0 or 1)."""
+    """``by, f, p_value``: Chow's F of a pooled prediction against two parts' own predictions (``part`` 0 or 1), and P(F > f) for k and n - 2 k."""
     sq = lambda c: (F.col(y) - F.col(c)) * (F.col(y) - F.col(c))
     own = F.when(F.col(part) == 0, sq(first)).otherwise(sq(second))
     g = df.groupBy(*by).agg(F.sum(sq(pooled)).alias("c"), F.sum(own).alias("s"), F.count(F.lit(1)).alias("n"))
-    return g.select(*by, F.try_divide((F.col("c") - F.col("s")) / k, F.try_divide(F.col("s"), F.col("n") - 2 * k)).alias("f"))
+    g = g.select(*by, "n", F.try_divide((F.col("c") - F.col("s")) / k, F.try_divide(F.col("s"), F.col("n") - 2 * k)).alias("f"))
+    return g.select(*by, "f", f_tail(F.greatest("f", F.lit(0.0)), F.lit(k), F.col("n") - 2 * k).alias("p_value"))
 
 
 def mean_break(df: DataFrame, value: str, trim: float = 0.15, min_size: int = 15, k: int = 1) -> DataFrame:
-    """``symbol, break_at, f``: the split in [trim, 1 - trim) of a series with the largest F for a change of mean.
+    """``symbol, break_at, f, p_value``: the split in [trim, 1 - trim) of a series with the largest F for a change of mean.
 
     Every candidate's sums of squares come from running totals, so a series of n rows takes n
-    steps; ties go to the earliest.
+    steps; ties go to the earliest.  ``p_value`` is P(F > f) for 1 and n - 2, as the original takes it, not corrected for the search.
     """
     x = F.col(value)
-    d = running(df.filter(x.isNotNull()), sums={"s": x, "q": x * x})
-    t = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("st"), F.sum(x * x).alias("qt"))
+    d = running(df.filter(x.isNotNull()), sums={"s": x, "q": x * x, "_n": F.lit(1)}, totals={"s": "st", "q": "qt", "_n": "n"})
     n1 = F.col("rn") + 1
     n2 = F.col("n") - n1
-    c = d.join(t, "symbol").filter((n1 >= F.floor(F.col("n") * trim)) & (n1 < F.col("n") - F.floor(F.col("n") * trim)) & (n1 >= min_size) & (n2 >= min_size))
+    c = d.filter((n1 >= F.floor(F.col("n") * trim)) & (n1 < F.col("n") - F.floor(F.col("n") * trim)) & (n1 >= min_size) & (n2 >= min_size))
     pooled = F.col("qt") - F.col("st") * F.col("st") / F.col("n")
     parts = (F.col("q") - F.col("s") * F.col("s") / n1) + (F.col("qt") - F.col("q") - (F.col("st") - F.col("s")) * (F.col("st") - F.col("s")) / n2)
     f = F.try_divide((pooled - parts) / k, parts / (F.col("n") - 2 * k))
-    c = c.select("symbol", n1.alias("break_at"), f.alias("f"), (pooled - parts).alias("gain")).filter("f is not null")
-    return c.groupBy("symbol").agg(F.max_by(F.struct("break_at", "f", "gain"), F.struct("f", -F.col("break_at"))).alias("b")).select("symbol", "b.*")
+    c = c.select("symbol", n1.alias("break_at"), f.alias("f"), (pooled - parts).alias("gain"), "n").filter("f is not null")
+    best = c.groupBy("symbol").agg(F.max_by(F.struct("break_at", "f", "gain", "n"), F.struct("f", -F.col("break_at"))).alias("b")).select("symbol", "b.*")
+    return best.withColumn("p_value", f_tail(F.greatest("f", F.lit(0.0)), F.lit(1), F.col("n") - 2)).drop("n")
 
 
 def window_discrepancy(df: DataFrame, value: str, width: int) -> DataFrame:
@@ -67,42 +69,39 @@ def window_discrepancy(df: DataFrame, value: str, width: int) -> DataFrame:
     return rolling(d, lambda w: {"is_peak": F.coalesce((F.col("gain") == F.max("gain").over(w.rowsBetween(-width, width))) & (F.col("gain") > 0), F.lit(False))}, back=width, ahead=width)
 
 
-def cusum(df: DataFrame, value: str, n: int = 30, threshold: float = 3.0, step: bool = True) -> DataFrame:
+def cusum(df: DataFrame, value: str, n: int = 30, threshold: float = 3.0, step: bool = True, mean_shift: bool = True) -> DataFrame:
     """``df`` with ``s_pos, s_neg, pos_break, neg_break``: one-sided sums of the deviation from the rolling mean over its rolling deviation.
 
-    The sums are 0 for the first ``n`` rows of a symbol and restart after a break if ``step``.
+    Without ``mean_shift`` the value itself takes the place of its deviation from the rolling mean.  The sums are 0 for the
+    first ``n`` rows of a symbol; with ``step`` they are set back to 0 by a break, in its own row already.
     Rolling parts are windows; the recursion streams over sorted rows, keeping two numbers per symbol.
     """
-
-    def eps(w):  # noqa: ANN001, ANN202
-        return {"eps": F.col(value) - F.avg(value).over(w.rowsBetween(-(n - 1), 0))}
-
-    d = rolling(df.filter(F.col(value).isNotNull()), eps, back=n)
+    df = df.filter(F.col(value).isNotNull())
+    mean = lambda w: F.avg(value).over(w.rowsBetween(-(n - 1), 0)) if mean_shift else F.lit(0.0)
+    d = rolling(df, lambda w: {"eps": F.col(value) - mean(w)}, back=n)
     d = rolling(d, lambda w: {"sigma": F.stddev_samp("eps").over(w.rowsBetween(-(n - 1), 0))}, back=n)
+    cols = d.columns
+    at = [cols.index(c) for c in ("rn", "eps", "sigma")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, up, down = None, 0.0, 0.0
+        up = down = 0.0
         for b in batches:
-            names, rn = b.column(0).to_pylist(), b.column(1).to_pylist()
-            e, s = b.column(2).to_pylist(), b.column(3).to_pylist()
-            out: list[tuple[float, float, bool, bool]] = []
-            for name, i, x, sd in zip(names, rn, e, s):
-                if name != symbol:
-                    symbol, up, down = name, 0.0, 0.0
+            size = b.num_rows
+            made = np.zeros((2, size))
+            hits = np.zeros((2, size), bool)
+            for k, (i, x, sd) in enumerate(zip(*[b.column(j).to_pylist() for j in at])):
                 if i < n or not sd:
-                    out.append((0.0, 0.0, False, False))
+                    up, down = (0.0, 0.0) if i < n else (up, down)
                     continue
                 up, down = max(0.0, up + x) / sd, min(0.0, down + x) / sd
-                hit = (up > threshold, down < -threshold)
-                out.append((up, down, *hit))
+                hits[:, k] = up > threshold, down < -threshold
                 if step:
-                    up, down = 0.0 if hit[0] else up, 0.0 if hit[1] else down
-            cols = list(zip(*out)) if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, ("float64", "float64", "bool", "bool"))]], names=["symbol", "rn", "s_pos", "s_neg", "pos_break", "neg_break"])
+                    up, down = 0.0 if hits[0, k] else up, 0.0 if hits[1, k] else down
+                made[:, k] = up, down
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c) for c in (*made, *hits)]], names=[*cols, "s_pos", "s_neg", "pos_break", "neg_break"])
 
-    rows = d.select("symbol", "rn", "eps", "sigma").repartition("symbol").sortWithinPartitions("symbol", "rn")
-    made = rows.mapInArrow(run, "symbol string, rn long, s_pos double, s_neg double, pos_break boolean, neg_break boolean")
-    return d.join(made, ["symbol", "rn"])
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in cols)
+    return d.repartition("symbol").sortWithinPartitions("symbol", "rn").mapInArrow(run, f"{kinds}, s_pos double, s_neg double, pos_break boolean, neg_break boolean")
 
 
 def long_short(df: DataFrame, value: str, long: int = 30, short: int = 5) -> DataFrame:
@@ -274,9 +273,9 @@ def _dickey_fuller(products: str, n: str) -> Column:
 
 
 def min_ffd(df: DataFrame, value: str, steps: int = 11, size: int = 30, least: float = 0.01) -> DataFrame:
-    """``symbol, d, statistic, n, critical, corr`` for d = 0 .. 1: how stationary a series is when differenced by d, and how much of it is left.
+    """``symbol, d, statistic, p_value, n, critical, corr`` for d = 0 .. 1: how stationary a series is when differenced by d, and how much of it is left.
 
-    ``statistic`` is that of ``adf``, ``critical`` its 5 % value for n rows (MacKinnon 2010), ``corr`` the correlation with
+    ``statistic`` is that of ``adf``, ``p_value`` its probability (MacKinnon 1994), ``critical`` its 5 % value for n rows (MacKinnon 2010), ``corr`` the correlation with
     the series itself; the smallest d with statistic below critical is the one to take.  Weights below ``least`` end the sum,
     as in the original.  All values of d go through one pass.
     """
@@ -291,4 +290,14 @@ def min_ffd(df: DataFrame, value: str, steps: int = 11, size: int = 30, least: f
     cut = cut.groupBy("symbol").agg(F.count("_l2_0").alias("n"), F.array(*moments).alias("_m")).select("symbol", "n", F.explode("_m").alias("_m")).select("symbol", "n", "_m.*")
     n = F.col("n")
     critical = F.when(n > 0, F.lit(-2.86154) - F.try_divide(F.lit(2.8903), n) - F.try_divide(F.lit(4.234), n * n) - F.try_divide(F.lit(40.04), n * n * n))
-    return cut.select("symbol", "d", _dickey_fuller("m", "n").alias("statistic"), "n", critical.alias("critical"), "corr")
+    got = cut.select("symbol", "d", _dickey_fuller("m", "n").alias("statistic"), "n", critical.alias("critical"), "corr")
+    return got.withColumn("p_value", unit_root_probability(F.col("statistic")))
+
+
+def unit_root_probability(t: Column) -> Column:
+    """Probability of a Dickey-Fuller statistic with constant if there is a unit root (MacKinnon 1994, one series)."""
+    # The published polynomials for small and large statistics, where they meet and where they end.
+    small, large = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+    meet, least, most = -1.61, -18.83, 2.74
+    poly = lambda cs: sum((F.pow(t, F.lit(k)) * c for k, c in enumerate(cs[1:], 1)), F.lit(cs[0]))
+    return F.when(t > most, 1.0).when(t < least, 0.0).when(t <= meet, normal(poly(small))).when(t > meet, normal(poly(large)))

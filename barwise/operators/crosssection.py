@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.functions.frames import rolling
+from barwise.functions.frames import rolling, running
 from barwise.operators.quantiles import quantiles
 from barwise.session import bounded, checkpointed
 
@@ -165,12 +165,12 @@ def logistic(df: DataFrame, features: list[str], label: str, seed: int = 1) -> D
 
 def pie_shares(df: DataFrame, name: str, value: str) -> DataFrame:
     """``name, share, start_angle, end_angle`` in order of name."""
-    total = F.sum(value).over(W.partitionBy())
-    d = df.groupBy(name).agg(F.sum(value).alias(value))
-    share = F.try_divide(F.col(value), total)
-    upto = F.try_divide(F.sum(value).over(W.orderBy(name).rowsBetween(W.unboundedPreceding, 0)), total)
+    d = df.groupBy(name).agg(F.sum(value).alias("value"))
+    d = d.select(F.lit("all").alias("symbol"), F.col(name).alias("ts"), F.lit(0).alias("tie"), "value")
+    d = running(d, sums={"upto": F.col("value")}, totals={"upto": "total"})
+    turn = lambda c: F.try_divide(c, F.col("total"))
     two_pi = 6.283185307179586
-    return d.select(name, share.alias("share"), ((upto - share) * two_pi).alias("start_angle"), (upto * two_pi).alias("end_angle"))
+    return d.select(F.col("ts").alias(name), turn(F.col("value")).alias("share"), (turn(F.col("upto") - F.col("value")) * two_pi).alias("start_angle"), (turn(F.col("upto")) * two_pi).alias("end_angle"))
 
 
 def hour_over_hour(df: DataFrame, value: str, bins: int = 10) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import accumulate, takewhile
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -33,10 +34,15 @@ def moving_averages(df: DataFrame, periods: Sequence[int] = (5, 10, 20, 40, 60,
     return rolling(df, lambda w: {f"ma_{n}": full(F.avg, value, w, n) for n in periods}, back=max(periods))
 
 
-def signed_changes(df: DataFrame) -> DataFrame:
-    """``d`` change of price and ``sign`` of the last change that was not 0 (0 before any)."""
-    d = rolling(df, lambda w: {"d": F.col("price") - F.lag("price").over(w)}, back=1)
-    return running(d, latest={"sign": F.nullif(F.signum("d"), F.lit(0.0))}).withColumn("sign", F.coalesce("sign", F.lit(0.0)))
+def signed_changes(df: DataFrame, marks: Callable[[WindowSpec], Column] | None = None) -> DataFrame:
+    """``d`` change of price and ``sign`` of the last change that was not 0 (0 before any).
+
+    With ``marks``, a condition over rows next to each other, also ``mark`` (1 where it holds), ``upto`` (marks so far) and ``marked`` (marks of the symbol), in the same pass.
+    """
+    more = (lambda w: {"mark": F.coalesce(marks(w), F.lit(False)).cast("long")}) if marks else (lambda w: {})
+    d = rolling(df, lambda w: {"d": F.col("price") - F.lag("price").over(w), **more(w)}, back=1)
+    d = running(d, latest={"sign": F.nullif(F.signum("d"), F.lit(0.0))}, sums={"upto": F.col("mark")} if marks else None, totals={"upto": "marked"} if marks else None)
+    return d.withColumn("sign", F.coalesce("sign", F.lit(0.0)))
 
 
 def kyle_bars(df: DataFrame, n: int = 20) -> DataFrame:
@@ -72,14 +78,9 @@ def hasbrouck_trades(df: DataFrame) -> DataFrame:
 
 
 def frac_diff_weights(d: float, size: int, least: float = 1e-5) -> list[float]:
-    """Weights of fractional differencing: w_k = -w_{k-1} (d - k + 1) / k, until below ``least``."""
-    w = [1.0]
-    for k in range(1, size):
-        w.append(-w[-1] * (d - k + 1) / k)
-        if abs(w[-1]) < least:
-            w.pop()
-            break
-    return w
+    """Coefficients of (1 - L)^d up to ``size`` of them, as running products of (k - 1 - d) / k; they end before the first below ``least``."""
+    products = accumulate(((k - 1 - d) / k for k in range(1, size)), lambda w, r: w * r, initial=1.0)
+    return list(takewhile(lambda w: abs(w) >= least, products))
 
 
 def frac_diff(df: DataFrame, d: float = 0.4, size: int = 30) -> DataFrame:

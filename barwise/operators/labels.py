@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.functions.frames import rolling, running
+from barwise.functions.frames import ewm, full, rolling, running
 from barwise.session import epoch_us, floor_div
 
 
@@ -43,9 +43,19 @@ def event_prices(events: DataFrame, bars: DataFrame) -> DataFrame:
     return d.join(p.withColumnsRenamed({"ts": "t1", "price": "p1"}), ["symbol", "t1"])
 
 
-def return_sign(events: DataFrame, bars: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """``ret`` (log) and ``bin``: 1 above the threshold, -1 below its negative, else 0."""
+def return_sign(events: DataFrame, bars: DataFrame, threshold: float = 0.0, window: int | None = None) -> DataFrame:
+    """``ret`` (log) and ``bin``: 1 above the threshold, -1 below its negative, else 0.
+
+    With ``window`` the return is standardised first: less the mean and over the deviation of the one-step-ahead log
+    returns of the last ``window`` bars up to t0; events without them are dropped.
+    """
+    bars = bars.select("symbol", "ts", "tie", "price")
     d = event_prices(events, bars).withColumn("ret", F.ln(F.try_divide("p1", "p0")))
+    if window:
+        ahead = rolling(bars, lambda w: {"r": F.ln(F.try_divide(F.lead("price").over(w), F.col("price")))}, ahead=1)
+        ahead = rolling(ahead, lambda w: {"m": full(F.avg, "r", w, window), "s": full(F.stddev_samp, "r", w, window)}, back=window)
+        d = d.join(ahead.select("symbol", F.col("ts").alias("t0"), "m", "s"), ["symbol", "t0"])
+        d = d.withColumn("ret", F.try_divide(F.col("ret") - F.col("m"), F.col("s"))).filter("ret is not null").drop("m", "s")
     return d.withColumn("bin", F.when(F.col("ret") > threshold, 1).when(F.col("ret") < -threshold, -1).otherwise(0))
 
 
@@ -86,15 +96,28 @@ def over_cross_section(panel: DataFrame, k: int = 1, median: bool = False, binar
     return d.join(m, "ts").select("ts", F.col("symbol").alias("asset"), (F.signum(x) if binary else x).alias("excess"))
 
 
-def tail_sets(panel: DataFrame, q: int) -> DataFrame:
+def tail_sets(panel: DataFrame, q: int, vol_adj: str | None = None, window: int = 252) -> DataFrame:
     """``ts, asset, tail``: -1 for the lowest and 1 for the highest of ``q`` quantile bins of the log changes at a time, else 0.
 
-    Times at which an asset has no change are dropped; ties are ranked by asset.
+    Times at which an asset has no change are dropped; ties are ranked by asset.  With ``vol_adj`` the changes are first
+    divided by their volatility over ``window`` rows: ``stdev`` the rolling deviation, ``mean_abs_dev`` the exponentially
+    weighted mean (span ``window``) of their size; times without it are dropped.
     """
-    d = rolling(panel.select(F.col("asset").alias("symbol"), "ts", F.lit(0).alias("tie"), "price"), lambda w: {"r": F.ln("price") - F.ln(F.lag("price").over(w))}, back=1)
     assets = panel.select("asset").distinct().count()
     w = W.partitionBy("ts")
-    d = d.filter("r is not null").withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("n") == assets)
+
+    def complete(d: DataFrame) -> DataFrame:
+        return d.filter("r is not null").withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("n") == assets)
+
+    d = complete(rolling(panel.select(F.col("asset").alias("symbol"), "ts", F.lit(0).alias("tie"), "price"), lambda w: {"r": F.ln("price") - F.ln(F.lag("price").over(w))}, back=1))
+    if vol_adj == "stdev":
+        d = rolling(d.drop("rn"), lambda w: {"v": full(F.stddev_samp, "r", w, window)}, back=window)
+    elif vol_adj == "mean_abs_dev":
+        d = ewm(d.drop("rn").withColumn("a", F.abs("r")), {"v": ("a", 1 - 2 / (window + 1))}).withColumn("v", F.when(F.col("rn") >= window - 1, F.col("v")))
+    elif vol_adj:
+        raise ValueError(vol_adj)
+    if vol_adj:
+        d = complete(d.withColumn("r", F.try_divide("r", "v")).drop("n"))
     d = d.withColumn("k", F.row_number().over(w.orderBy("r", "symbol")))
     low, high = (F.col("k") - 1) * q <= F.col("n") - 1, (F.col("k") - 1) * q > (F.col("n") - 1) * (q - 1)
     return d.select("ts", F.col("symbol").alias("asset"), F.when(low, -1).when(high, 1).otherwise(0).alias("tail"))
@@ -124,12 +147,11 @@ def trend_scan(bars: DataFrame, window: int, least: int, step: int) -> DataFrame
 
 def concurrency(events: DataFrame, bars: DataFrame) -> DataFrame:
     """``symbol, ts, n``: events alive at each bar from the symbol's first t0 to its last t1, by a sweep over starts and ends."""
-    starts = events.select("symbol", F.col("t0").alias("ts"), F.lit(-1).alias("tie"), F.lit(1).alias("delta"))
-    ends = events.select("symbol", F.col("t1").alias("ts"), F.lit(1).alias("tie"), F.lit(-1).alias("delta"))
-    at = bars.select("symbol", "ts").distinct().select("symbol", "ts", F.lit(0).alias("tie"), F.lit(0).alias("delta"))
-    span = events.groupBy("symbol").agg(F.min("t0").alias("_a"), F.max("t1").alias("_z"))
-    d = running(starts.unionByName(ends).unionByName(at), sums={"n": F.col("delta")})
-    return d.filter("tie = 0").join(span, "symbol").filter("ts >= _a and ts <= _z").select("symbol", "ts", "n")
+    turn = lambda ts, tie, up, down: F.struct(F.col(ts).alias("ts"), F.lit(tie).alias("tie"), F.lit(up).alias("up"), F.lit(down).alias("down"))
+    turns = events.select("symbol", F.explode(F.array(turn("t0", -1, 1, 0), turn("t1", 1, 0, 1))).alias("e")).select("symbol", "e.*")
+    at = bars.select("symbol", "ts").distinct().select("symbol", F.explode(F.array(turn("ts", 0, 0, 0))).alias("e")).select("symbol", "e.*")
+    d = running(turns.unionByName(at), sums={"begun": F.col("up"), "ended": F.col("down")}, totals={"begun": "events"})
+    return d.filter("tie = 0 and begun > 0 and ended < events").select("symbol", "ts", (F.col("begun") - F.col("ended")).alias("n"))
 
 
 def average_uniqueness(events: DataFrame, bars: DataFrame) -> DataFrame:

@@ -5,30 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwise.functions.frames import rolling, running
+from barwise.functions.frames import affine, rolling, running
+
+
+def average_prices(events: DataFrame) -> DataFrame:
+    """``events`` (``symbol, ts, tie, side, volume, price, ..``) with ``position`` and ``avg_price`` of their side after each event.
+
+    An opening event (volume above 0) moves the average towards its price by its share of the new position, a closing one
+    leaves it; after a flat position it begins anew.  It is null while flat; openings without a price leave it as it was.
+    """
+    e = events.withColumn("symbol", F.struct("symbol", "side"))
+    e = running(e, sums={"position": F.coalesce(F.col("volume"), F.lit(0.0))})
+    held, opens = F.abs("position") > 1e-9, F.col("volume") > 0
+    a = F.when(~held, 0.0).when(opens & F.col("price").isNotNull(), (F.col("position") - F.col("volume")) / F.col("position")).otherwise(1.0)
+    b = F.when(held & opens & F.col("price").isNotNull(), F.col("volume") * F.col("price") / F.col("position")).otherwise(0.0)
+    e = affine(e, "_avg", a, b)
+    return e.withColumn("symbol", F.col("symbol.symbol")).withColumn("avg_price", F.when(F.abs("position") > 1e-9, F.col("_avg"))).drop("_avg")
 
 
 def positions(bars: DataFrame, events: DataFrame) -> DataFrame:
     """``symbol, ts, price`` with per side running position, average open price, floating and realised profit, cost and capital.
 
-    ``events``: ``symbol, ts, side (long, short), volume (closes negative), price, profit, cost``.  Events
-    at one time are summed; they count from the first bar at their own time (others are left out).
-    The average price is the volume-weighted mean of all opening events up to a row, null while flat.
+    ``events``: ``symbol, ts, tie, side (long, short), volume (closes negative), price, profit, cost``, in order of
+    ``ts`` and ``tie``.  They count from the first bar at their own time (others are left out).
+    The average price is that of :func:`average_prices`.
     """
-    ev = events.groupBy("symbol", "ts", "side").agg(
-        F.sum("volume").alias("v"), F.sum(F.when(F.col("volume") > 0, F.col("volume"))).alias("ov"), F.sum(F.when(F.col("volume") > 0, F.col("volume") * F.col("price"))).alias("oc"),
-        F.sum("profit").alias("pr"), F.sum("cost").alias("c"))
-    sides = ev.groupBy("symbol", "ts").pivot("side", ["long", "short"]).agg(*[F.sum(c).alias(c) for c in ("v", "ov", "oc", "pr", "c")])
+    ev = average_prices(events).groupBy("symbol", "ts", "side").agg(
+        F.sum("volume").alias("v"), F.sum("profit").alias("pr"), F.sum("cost").alias("c"), F.max_by(F.struct("avg_price"), "rn").alias("avg"))
+    sides = ev.groupBy("symbol", "ts").pivot("side", ["long", "short"]).agg(*[F.first(c).alias(c) for c in ("v", "pr", "c", "avg")])
     d = bars.select("symbol", "ts", "tie", "price").join(sides, ["symbol", "ts"], "left")
-    sums = {f"{s}_{n}": F.coalesce(F.col(f"{s}_{c}"), F.lit(0.0)) for s in ("long", "short") for n, c in (("position", "v"), ("_ov", "ov"), ("_oc", "oc"), ("fix_profit", "pr"), ("cost", "c"))}
-    d = running(d.select("symbol", "ts", "tie", "price", *[c.alias(f"in_{n}") for n, c in sums.items()]), sums={n: F.col(f"in_{n}") for n in sums})
-    out = d.select("symbol", "ts", "tie", "price", "rn", *sums)
+    sums = {f"{s}_{n}": F.coalesce(F.col(f"{s}_{c}"), F.lit(0.0)) for s in ("long", "short") for n, c in (("position", "v"), ("fix_profit", "pr"), ("cost", "c"))}
+    d = running(d, sums=sums, latest={f"_{s}": F.col(f"{s}_avg") for s in ("long", "short")})
+    out = d.select("symbol", "ts", "tie", "price", "rn", *sums, *[F.when(F.abs(f"{s}_position") > 1e-9, F.col(f"_{s}.avg_price")).alias(f"{s}_avg_price") for s in ("long", "short")])
     for s, sign in (("long", 1), ("short", -1)):
-        avg = F.when(F.abs(f"{s}_position") > 1e-9, F.try_divide(f"{s}__oc", f"{s}__ov"))
-        out = out.withColumn(f"{s}_avg_price", avg).withColumn(f"{s}_float", F.coalesce((F.col("price") - F.col(f"{s}_avg_price")) * F.col(f"{s}_position") * sign, F.lit(0.0)))
+        out = out.withColumn(f"{s}_float", F.coalesce((F.col("price") - F.col(f"{s}_avg_price")) * F.col(f"{s}_position") * sign, F.lit(0.0)))
         out = out.withColumn(f"{s}_capital", F.col(f"{s}_float") + F.col(f"{s}_fix_profit") - F.col(f"{s}_cost"))
-    out = out.withColumn("net_position", F.col("long_position") - F.col("short_position")).withColumn("capital", F.col("long_capital") + F.col("short_capital"))
-    return out.drop(*[f"{s}_{c}" for s in ("long", "short") for c in ("_ov", "_oc")])
+    return out.withColumn("net_position", F.col("long_position") - F.col("short_position")).withColumn("capital", F.col("long_capital") + F.col("short_capital"))
+
+
+def account(orders: DataFrame, initial: float) -> DataFrame:
+    """``symbol, ts, tie, kind`` of every opening and closing with the account after it.
+
+    ``orders``: ``symbol, order_id, open_ts, close_ts, side, price, volume, deposit, cost, profit``.  Opening takes deposit and
+    cost from the cash and adds deposit and volume to the side; closing gives deposit and profit back.  Columns: ``cash``,
+    ``long_asset, short_asset, long_volume, short_volume``, ``long_avg, short_avg`` (0 while flat).  Each symbol is an account of
+    its own; nothing is refused for want of cash.  Events at one time go by order number, closings first; null amounts count 0.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    leg = lambda ts, kind, sign: F.struct(F.col(ts).alias("ts"), F.struct(F.lit(max(sign, 0)).alias("k"), F.col("order_id").alias("o")).alias("tie"), F.lit(kind).alias("kind"), F.lit(float(sign)).alias("sign"))
+    e = orders.select("symbol", "side", "price", *[zero(c).alias(c) for c in ("volume", "deposit", "cost", "profit")], F.explode(F.array(leg("open_ts", "open", 1), leg("close_ts", "close", -1))).alias("e"))
+    e = e.select("symbol", "side", "price", "volume", "deposit", "cost", "profit", "e.*").filter("symbol is not null and ts is not null").withColumn("volume", F.col("volume") * F.col("sign"))
+    e = average_prices(e).drop("rn", "position")
+    opens = F.col("sign") > 0
+    cash = F.when(opens, -F.col("deposit") - F.col("cost")).otherwise(F.col("deposit") + F.col("profit"))
+    own = lambda s, c: F.when(F.col("side") == s, c).otherwise(0.0)
+    sums = {"_cash": cash} | {f"{s}_asset": own(s, F.col("sign") * F.col("deposit")) for s in ("long", "short")} | {f"{s}_volume": own(s, F.col("volume")) for s in ("long", "short")}
+    d = running(e, sums=sums, latest={f"_{s}": F.when(F.col("side") == s, F.struct("avg_price")) for s in ("long", "short")})
+    avg = [F.when(F.abs(f"{s}_volume") > 1e-9, F.col(f"_{s}.avg_price")).otherwise(0.0).alias(f"{s}_avg") for s in ("long", "short")]
+    return d.select("symbol", "ts", F.col("tie.o").alias("order_id"), "kind", "side", (initial + F.col("_cash")).alias("cash"), "long_asset", "short_asset", "long_volume", "short_volume", *avg)
 
 
 def streaks(df: DataFrame, flag: Column) -> DataFrame:

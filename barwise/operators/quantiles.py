@@ -1,7 +1,7 @@
 """Exact quantiles without holding a group in one task.
 
-A group's values are reduced to counts, cut into fixed ranges of a sixteenth of an octave, summed
-range by range, and only the ranges that hold a wanted rank are ordered value by value.
+A group's values are reduced to counts, sorted into equally large ranges drawn from the data, summed
+range by range, and only the ranges that hold a wanted rank are added up value by value.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barwise.functions import frames
 from barwise.session import number
 
 
@@ -23,10 +24,8 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[floa
     Nulls and NaN do not count; groups without values give no row.
     """
     by = list(by)
-    v = F.col("_v")
     counts = df.select(*by, number(value).alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    octave = F.floor(F.log2(F.least(F.abs(v), F.lit(1.7e308))) * 16).cast("int") + 32_768
-    ranged = counts.withColumn("_r", F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("int") * octave))
+    ranged = frames.ranged(counts, *by, "_v").withColumnRenamed("_p", "_r")
     lower = W.partitionBy(*by).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     per = ranged.groupBy(*by, "_r").agg(F.sum("_c").alias("_t"))
     per = per.select(*by, "_r", "_t", F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_off"), F.sum("_t").over(W.partitionBy(*by)).alias("_n"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barwise.session import epoch_us, floor_div, number
 
 DAY_S = 86_400
+MIN_SUPPORT = 2.0
 
 
 def regular_grid(
@@ -24,7 +25,7 @@ def regular_grid(
     volume: str,
     step_s: int = 60,
     bandwidth_s: int = 180,
-    min_support: float = 2.0,
+    min_support: float = MIN_SUPPORT,
 ) -> DataFrame:
     """One row per entity and grid step between its first and last usable reading of each day.
 
@@ -67,12 +68,13 @@ def regular_grid(
     support = F.coalesce(F.try_divide(F.col("s0") * F.col("s0"), F.col("ww")), F.lit(0.0))
     local = F.when(det > 1e-9 * F.col("s0") * F.col("s0") * h * h, (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det).otherwise(F.try_divide("t0", "s0"))
     n = F.coalesce("n", F.lit(0)).cast("long")
+    value = F.when(support >= min_support, local).otherwise(F.col("mean"))
     return steps.join(sums, ["_k", "_g"], "left").select(
         F.col("_k").alias(key),
         F.col("_g").alias("step"),
         n.alias("readings"),
         F.coalesce("q", F.lit(0.0)).alias("volume"),
-        F.when(support >= min_support, local).otherwise(F.col("mean")).alias("value"),
+        value.alias("value"),
         support.alias("support"),
-        F.when(n > 0, "observed").when(support >= min_support, "filled").otherwise("missing").alias("mark"),
+        F.when(n > 0, "observed").when(value.isNotNull(), "filled").otherwise("missing").alias("mark"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barwise.operators.flatten import flatten_levels, flatten_records, flatten_ticks
 from barwise.operators.intervals import interval_gaps, merge_intervals
-from barwise.operators.regular_grid import regular_grid
+from barwise.operators.regular_grid import MIN_SUPPORT, regular_grid
 from barwise.operators.spikes import implausible
 from barwise.operators.trailing import trailing_totals
 from barwise.session import floor_div, table
@@ -52,8 +52,10 @@ def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes that the local regression filled, or that it marked for want of support."""
     out = regular_grid(table(spark, sf_dir, "ticks"), "symbol", "created_at", "price", "last_volume")
-    return out.filter("readings = 0").select("symbol", F.col("step").alias("epoch_minute"))
+    made = ((F.col("mark") == "filled") & F.col("value").isNotNull()) | ((F.col("mark") == "missing") & (F.col("support") < MIN_SUPPORT))
+    return out.filter(made).select("symbol", F.col("step").alias("epoch_minute"))
 
 
 def p7_periods(spark: SparkSession, sf_dir: str) -> DataFrame:

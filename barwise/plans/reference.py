@@ -101,7 +101,16 @@ for _n, _m, _s, _t in (
     _fold_query(_n, _m, _s, _t)
 
 
-@query("symbol start_ts end_ts", _BARV, digits=4, longs=_BAR)
+_EMA = _SIGNS.replace("t as (", "recursive t as (", 1) + f""", w as (select [0.8 * pow(0.2, 4), 0.8 * pow(0.2, 3), 0.8 * pow(0.2, 2), 0.8 * 0.2, 0.8] as v), ww as (select list_transform(v, lambda x: x / list_sum(v)) as w from w),
+  r as (select symbol, rn, 0::bigint as bar, volume as total, [volume] as recent, []::double[] as lens, 0::bigint as last, 50.0::double as ei, 20.0::double as et, volume >= 1000 as cl from s where rn = 0
+        union all select symbol, rn, bar, total, recent, lens, last, ei, et, total >= ei * et from
+        (select s.symbol, s.rn, r.bar + r.cl::int as bar, case when r.cl then 0 else r.total end + s.volume as total, list_append(r.recent, s.volume)[-5:] as recent, l.lens, case when r.cl then r.rn else r.last end as last,
+                case when r.cl and len(r.recent) >= 5 then list_dot_product(r.recent[-5:], ww.w) else r.ei end as ei, case when r.cl and len(l.lens) >= 5 then list_dot_product(l.lens, ww.w) else r.et end as et
+         from r join s on s.symbol = r.symbol and s.rn = r.rn + 1, ww, lateral (select case when r.cl then list_append(r.lens, (r.rn - r.last)::double)[-5:] else r.lens end as lens) l)),
+  b as (select s.*, r.bar, max(case when r.cl then 1 else 0 end) over (partition by r.symbol, r.bar) as done from s join r on r.symbol = s.symbol and r.rn = s.rn)"""
+
+
+@query("symbol start_ts end_ts", _BARV, f"select symbol, {_AGG} from b where done = 1 group by symbol, bar", _EMA, digits=4, longs=_BAR)
 def bar_ema_imb(spark, sf):  # noqa: ANN001, ANN201
     return B.ema_bars(V.ticks(spark, sf), "volume_imbalance", 20, 50.0)
 
@@ -504,6 +513,13 @@ def lab_return_sign(spark, sf):  # noqa: ANN001, ANN201
     return L.return_sign(_events(spark, sf), _p(spark, sf), 0.001)
 
 
+@query("event_id", "ret", """select event_id, z as ret, case when z > 0.5 then 1 when z < -0.5 then -1 else 0 end as bin from (select event_id, (ret - m) / nullif(s, 0) as z from ep join
+       (select symbol, ts, case when count(r) over f = 20 then avg(r) over f end as m, case when count(r) over f = 20 then stddev_samp(r) over f end as s from (select symbol, ts, tie, ln(lead(price) over (partition by symbol order by ts, tie) / price) as r from p)
+        window f as (partition by symbol order by ts, tie rows between 19 preceding and current row)) v on v.symbol = ep.symbol and v.ts = ep.t0) where z is not null""", _EP, longs="bin")
+def lab_return_sign_standardised(spark, sf):  # noqa: ANN001, ANN201
+    return L.return_sign(_events(spark, sf), _p(spark, sf), 0.5, window=20)
+
+
 @query("event_id", "scale", "select event_id, case when sign(ret) = 1 then abs(ret) else 0 end as scale from ep", _EP)
 def lab_scale(spark, sf):  # noqa: ANN001, ANN201
     return L.scale(_events(spark, sf), _p(spark, sf), F.lit(1.0))
@@ -537,6 +553,27 @@ def lab_tail_set(spark, sf):  # noqa: ANN001, ANN201
     return L.tail_sets(V.panel(spark, sf), 3)
 
 
+_TAIL = PA + """, r0 as (select ts, asset, ln(price) - ln(lag(price) over (partition by asset order by ts)) as r from panel),
+  r1 as (select * from (select *, count(*) over (partition by ts) as n from r0 where r is not null) where n = (select count(distinct asset) from panel)), k1 as (select *, row_number() over (partition by asset order by ts) as k from r1),
+  v as (select ts, asset, r, case when count(*) over f = 5 then stddev_samp(r) over f end as stdev from r1 window f as (partition by asset order by ts rows between 4 preceding and current row)),
+  m as (select a.ts, a.asset, any_value(a.r) as r, case when any_value(a.k) >= 5 then sum(abs(b.r) * pow(2 / 3.0, a.k - b.k)) / sum(pow(2 / 3.0, a.k - b.k)) end as mad from k1 a join k1 b on b.asset = a.asset and b.k <= a.k group by a.ts, a.asset)"""
+
+
+def _tail_sql(src: str, vol: str) -> str:
+    return f"""select ts, asset, case when (k - 1) * 3 <= n - 1 then -1 when (k - 1) * 3 > (n - 1) * 2 then 1 else 0 end as tail from
+       (select *, row_number() over (partition by ts order by x, asset) as k from (select *, r / {vol} as x, count(r / {vol}) over (partition by ts) as n from {src}) where x is not null) where n = (select count(distinct asset) from panel)"""
+
+
+@query("ts asset", sql=_tail_sql("v", "stdev"), ctes=_TAIL, longs="tail")
+def lab_tail_set_stdev(spark, sf):  # noqa: ANN001, ANN201
+    return L.tail_sets(V.panel(spark, sf), 3, "stdev", 5)
+
+
+@query("ts asset", sql=_tail_sql("m", "mad"), ctes=_TAIL, longs="tail")
+def lab_tail_set_mean_abs_dev(spark, sf):  # noqa: ANN001, ANN201
+    return L.tail_sets(V.panel(spark, sf), 3, "mean_abs_dev", 5)
+
+
 _TS = " union all ".join(f"""select symbol, ts, price, {n} as len, regr_sxy(price, rn) over f{n} as sxy, regr_sxx(price, rn) over f{n} as sxx, regr_syy(price, rn) over f{n} as syy,
   last_value(ts) over f{n} as t1, last_value(price) over f{n} as p1, count(*) over (partition by symbol order by rn rows between current row and 19 following) as have from n
   window f{n} as (partition by symbol order by rn rows between current row and {n - 1} following)""" for n in (5, 10, 15))
@@ -695,18 +732,26 @@ def feat_residuals(spark, sf):  # noqa: ANN001, ANN201
     return K.residuals(_xy(spark, sf), ["g"], "y", "x").groupBy("g").agg(F.sum(F.col("residual") * F.col("residual")).alias("ss"))
 
 
-@query("symbol", "f", """select symbol, ((c - s) / 1) / (s / (n - 2)) as f from (select symbol, sum((price - m) * (price - m)) as c, sum((price - pm) * (price - pm)) as s, count(*) as n from
-       (select *, avg(price) over (partition by symbol) as m, avg(price) over (partition by symbol, day(ts) > 15) as pm from t) group by symbol)""", T)
+def _p_sql(inner: str) -> str:
+    """``inner`` (with f and n) and P(F > f) for 1 and n - 2: as a two-sided t, its angle integrated by Simpson's rule in 2000 steps."""
+    return f"""select q.*, p.p_value from (select *, row_number() over () as row_no from ({inner})) q join (
+      select row_no, 1 - 2 / sqrt(pi()) * exp(lgamma((any_value(v) + 1) / 2) - lgamma(any_value(v) / 2)) * any_value(top) / 6000
+             * sum(case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end * pow(cos(top * k / 2000), v - 1)) as p_value
+      from (select row_no, (n - 2)::double as v, atan(sqrt(greatest(f, 0) / (n - 2))) as top from (select *, row_number() over () as row_no from ({inner}))), range(2001) r(k) group by row_no) p using (row_no)"""
+
+
+@query("symbol", "f p_value", _p_sql("""select symbol, ((c - s) / 1) / (s / (n - 2)) as f, n from (select symbol, sum((price - m) * (price - m)) as c, sum((price - pm) * (price - pm)) as s, count(*) as n from
+       (select *, avg(price) over (partition by symbol) as m, avg(price) over (partition by symbol, day(ts) > 15) as pm from t) group by symbol) order by symbol"""), T)
 def sb_chow(spark, sf):  # noqa: ANN001, ANN201
     t = V.ticks(spark, sf).withColumn("part", (F.dayofmonth("ts") > 15).cast("int"))
     m = t.groupBy("symbol").agg(F.avg("price").alias("m"), F.avg(F.when(F.col("part") == 0, F.col("price"))).alias("m0"), F.avg(F.when(F.col("part") == 1, F.col("price"))).alias("m1"))
     return K.chow(t.join(m, "symbol"), "m", "m0", "m1", "price", "part", 1, ["symbol"])
 
 
-@query("symbol break_at", "f", """select symbol, n1::bigint as break_at, f from (select *, row_number() over (partition by symbol order by f desc, n1) as k from (select symbol, n1, ((qt - st * st / n) - (q - s * s / n1) - (qt - q - (st - s) * (st - s) / (n - n1))) /
+@query("symbol break_at", "f p_value", _p_sql("""select symbol, n1::bigint as break_at, f, n from (select *, row_number() over (partition by symbol order by f desc, n1) as k from (select symbol, n, n1, ((qt - st * st / n) - (q - s * s / n1) - (qt - q - (st - s) * (st - s) / (n - n1))) /
        (((q - s * s / n1) + (qt - q - (st - s) * (st - s) / (n - n1))) / (n - 2)) as f from
        (select symbol, row_number() over w as n1, sum(price) over w as s, sum(price * price) over w as q, sum(price) over (partition by symbol) as st, sum(price * price) over (partition by symbol) as qt, count(*) over (partition by symbol) as n from t
-        window w as (partition by symbol order by ts, tie rows unbounded preceding)) where n1 >= floor(n * 0.15) and n1 < n - floor(n * 0.15) and n1 >= 15 and n - n1 >= 15)) where k = 1""", T)
+        window w as (partition by symbol order by ts, tie rows unbounded preceding)) where n1 >= floor(n * 0.15) and n1 < n - floor(n * 0.15) and n1 >= 15 and n - n1 >= 15)) where k = 1 order by symbol"""), T)
 def sb_quandt_andrews(spark, sf):  # noqa: ANN001, ANN201
     return K.mean_break(V.ticks(spark, sf), "price")
 
@@ -727,7 +772,7 @@ def sb_window_slide(spark, sf):  # noqa: ANN001, ANN201
     return K.window_discrepancy(V.ticks(spark, sf), "price", 20)
 
 
-@query("symbol ts tie pos_break neg_break", "s_pos s_neg", "select symbol, ts, tie, up > 3 as pos_break, down < -3 as neg_break, up as s_pos, down as s_neg from r join c using (symbol, rn)",
+@query("symbol ts tie pos_break neg_break", "s_pos s_neg", "select symbol, ts, tie, up > 3 as pos_break, down < -3 as neg_break, case when up > 3 then 0 else up end as s_pos, case when down < -3 then 0 else down end as s_neg from r join c using (symbol, rn)",
        _N.replace("t as (", "recursive t as (", 1) + """, e as (select *, price - avg(price) over f as eps from n window f as (partition by symbol order by rn rows between 29 preceding and current row)),
        c as (select *, stddev_samp(eps) over (partition by symbol order by rn rows between 29 preceding and current row) as sd from e),
        r as (select symbol, rn, 0.0::double as up, 0.0::double as down from c where rn = 0 union all
@@ -763,7 +808,7 @@ def sb_ruptures_kernel(spark, sf):  # noqa: ANN001, ANN201
     return K.segment(p, "price", method="kernel", breaks=1, least=3)
 
 
-@query("symbol d", "statistic critical corr", longs="n")
+@query("symbol d", "statistic p_value critical corr", longs="n")
 def feat_min_ffd(spark, sf):  # noqa: ANN001, ANN201
     return K.min_ffd(V.ticks(spark, sf), "price")
 
@@ -889,17 +934,24 @@ def cl_onc(spark, sf):  # noqa: ANN001, ANN201
 def _flow(spark: SparkSession, sf: str) -> DataFrame:
     """Order events moved to the first bar at or after them, closes with negative volume."""
     e = table(spark, sf, "event_df").filter("symbol is not null and date_time is not null")
-    d = L.asof_forward(e.select("symbol", "date_time", "order_direction", "order_style", "volume", "price", "profit", "order_trade_cost"), _p(spark, sf), "date_time")
+    d = L.asof_forward(e.select("symbol", "date_time", "event_id", "order_direction", "order_style", "volume", "price", "profit", "order_trade_cost"), _p(spark, sf), "date_time")
     v = F.abs(number("volume")) * F.when(F.col("order_style") == "close", -1).otherwise(1)
-    return d.select("symbol", F.col("found_ts").alias("ts"), F.col("order_direction").alias("side"), v.alias("volume"), number("price").alias("price"), number("profit").alias("profit"), F.coalesce(number("order_trade_cost"), F.lit(0.0)).alias("cost"))
+    return d.select("symbol", F.col("found_ts").alias("ts"), F.struct("date_time", "event_id").alias("tie"), F.col("order_direction").alias("side"), v.alias("volume"), number("price").alias("price"), number("profit").alias("profit"), F.coalesce(number("order_trade_cost"), F.lit(0.0)).alias("cost"))
 
 
-_FLOW = PR + """, fl as (select e.symbol, p.ts, e.order_direction as side, abs(e.volume) * case when e.order_style = 'close' then -1 else 1 end as v, e.price as px, e.profit as pr, coalesce(e.order_trade_cost, 0) as c
+_SIDES = ("long", "short")
+# the average price event by event, as in the original: an opening moves it by its share of the new position
+_FLOW = "recursive " + PR + """, fl as (select e.symbol, p.ts, e.order_direction as side, abs(e.volume) * case when e.order_style = 'close' then -1 else 1 end as v, case when isnan(e.price) then null else e.price end as px, e.profit as pr, coalesce(e.order_trade_cost, 0) as c, e.date_time, e.event_id
     from (select * from event_df where symbol is not null and date_time is not null) e asof join p on p.symbol = e.symbol and p.ts >= e.date_time),
-  sd as (select symbol, ts, """ + ", ".join(f"sum(case when side = '{s}' then v end) as {s}_v, sum(case when side = '{s}' and v > 0 then v end) as {s}_ov, sum(case when side = '{s}' and v > 0 then v * px end) as {s}_oc, sum(case when side = '{s}' and not isnan(pr) then pr end) as {s}_pr, sum(case when side = '{s}' then c end) as {s}_c" for s in ("long", "short")) + """ from fl group by symbol, ts),
-  ru as (select p.symbol, p.ts, p.tie, p.price, """ + ", ".join(f"sum(coalesce({s}_{a}, 0)) over w as {s}_{b}" for s in ("long", "short") for a, b in (("v", "position"), ("ov", "o"), ("oc", "oc"), ("pr", "fix_profit"), ("c", "cost"))) + """ from p left join sd on sd.symbol = p.symbol and sd.ts = p.ts
-         window w as (partition by p.symbol order by p.ts, p.tie rows unbounded preceding)),
-  po as (select *, case when abs(long_position) > 1e-9 then long_oc / nullif(long_o, 0) end as long_avg_price, case when abs(short_position) > 1e-9 then short_oc / nullif(short_o, 0) end as short_avg_price from ru),
+  en as (select *, row_number() over w as k, sum(coalesce(v, 0)) over (w rows unbounded preceding) as pos from fl window w as (partition by symbol, side order by ts, date_time, event_id)),
+  av as (select symbol, side, ts, k, case when abs(pos) > 1e-9 and v > 0 and px is not null then px * v / pos else 0.0 end as avg from en where k = 1
+         union all select en.symbol, en.side, en.ts, en.k, case when abs(en.pos) <= 1e-9 then 0.0 when en.v > 0 and en.px is not null then (av.avg * (en.pos - en.v) + en.px * en.v) / en.pos else av.avg end
+         from av join en on en.symbol = av.symbol and en.side = av.side and en.k = av.k + 1),
+  la as (select symbol, ts, """ + ", ".join(f"arg_max(avg, k) filter (where side = '{s}') as {s}_avg" for s in _SIDES) + """ from av group by symbol, ts),
+  sd as (select symbol, ts, """ + ", ".join(f"sum(case when side = '{s}' then v end) as {s}_v, sum(case when side = '{s}' and not isnan(pr) then pr end) as {s}_pr, sum(case when side = '{s}' then c end) as {s}_c" for s in _SIDES) + """ from fl group by symbol, ts),
+  ru as (select p.symbol, p.ts, p.tie, p.price, """ + ", ".join(f"sum(coalesce({s}_{a}, 0)) over w as {s}_{b}" for s in _SIDES for a, b in (("v", "position"), ("pr", "fix_profit"), ("c", "cost"))) + ", " + ", ".join(f"last_value({s}_avg ignore nulls) over w as {s}_last" for s in _SIDES) + """
+         from p left join sd on sd.symbol = p.symbol and sd.ts = p.ts left join la on la.symbol = p.symbol and la.ts = p.ts window w as (partition by p.symbol order by p.ts, p.tie rows unbounded preceding)),
+  po as (select *, """ + ", ".join(f"case when abs({s}_position) > 1e-9 then {s}_last end as {s}_avg_price" for s in _SIDES) + """ from ru),
   pc as (select *, coalesce((price - long_avg_price) * long_position, 0) as long_float, coalesce((price - short_avg_price) * short_position * -1, 0) as short_float from po),
   pp as (select *, long_position - short_position as net_position, long_float + long_fix_profit - long_cost + short_float + short_fix_profit - short_cost as capital from pc)"""
 
@@ -972,6 +1024,38 @@ def bt_export(spark, sf):  # noqa: ANN001, ANN201
     return i.select("order_id", F.explode(legs).alias("e")).select("order_id", "e.*").filter("ts is not null")
 
 
+_ACCOUNT = """recursive o as (select symbol, order_id, order_direction as side, case when isnan(price) then null else price end as px, coalesce(volume, 0) as vol, coalesce(deposit, 0) as dep, coalesce(slippage_cost, 0) + coalesce(context_cost, 0) as cost, coalesce(profit, 0) as pr, date_time as t0, close_date_time as t1 from info_df where symbol is not null),
+  ev as (select symbol, order_id, side, px, vol as v, -dep - cost as cash, dep as asset, t0 as ts, 'open' as kind, 1 as o from o where t0 is not null union all select symbol, order_id, side, px, -vol, dep + pr, -dep, t1, 'close', 0 from o where t1 is not null),
+  en as (select *, row_number() over w as k, sum(v) over (w rows unbounded preceding) as pos from ev window w as (partition by symbol, side order by ts, o, order_id)),
+  av as (select symbol, side, order_id, kind, k, case when abs(pos) > 1e-9 and v > 0 and px is not null then px * v / pos else 0.0 end as avg from en where k = 1
+         union all select en.symbol, en.side, en.order_id, en.kind, en.k, case when abs(en.pos) <= 1e-9 then 0.0 when en.v > 0 and en.px is not null then (av.avg * (en.pos - en.v) + en.px * en.v) / en.pos else av.avg end
+         from av join en on en.symbol = av.symbol and en.side = av.side and en.k = av.k + 1),
+  ac as (select en.symbol, en.ts, en.order_id, en.kind, en.side, 1e6 + sum(cash) over w as cash, """ + ", ".join(f"sum(case when en.side = '{s}' then asset else 0 end) over w as {s}_asset, sum(case when en.side = '{s}' then v else 0 end) over w as {s}_volume, last_value(case when en.side = '{s}' then avg end ignore nulls) over w as {s}_last" for s in _SIDES) + """
+         from en join av on av.symbol = en.symbol and av.side = en.side and av.k = en.k window w as (partition by en.symbol order by en.ts, en.o, en.order_id rows unbounded preceding))"""
+_ACC = "cash long_asset short_asset long_volume short_volume long_avg short_avg"
+
+
+def _account_sql(kind: str) -> str:
+    return f"select *, case when abs(long_volume) > 1e-9 then coalesce(long_last, 0) else 0 end as long_avg, case when abs(short_volume) > 1e-9 then coalesce(short_last, 0) else 0 end as short_avg from ac where kind = '{kind}'"
+
+
+def _accounts(spark: SparkSession, sf: str) -> DataFrame:
+    i = table(spark, sf, "info_df")
+    cost = F.coalesce("slippage_cost", F.lit(0.0)) + F.coalesce("context_cost", F.lit(0.0))
+    o = i.select("symbol", "order_id", F.col("date_time").alias("open_ts"), F.col("close_date_time").alias("close_ts"), F.col("order_direction").alias("side"), number("price").alias("price"), "volume", "deposit", cost.alias("cost"), "profit")
+    return P.account(o, 1e6)
+
+
+@query("symbol ts order_id side", _ACC, _account_sql("open"), _ACCOUNT, digits=4)
+def bt_account_open(spark, sf):  # noqa: ANN001, ANN201
+    return _accounts(spark, sf).filter("kind = 'open'")
+
+
+@query("symbol ts order_id side", _ACC, _account_sql("close"), _ACCOUNT, digits=4)
+def bt_account_close(spark, sf):  # noqa: ANN001, ANN201
+    return _accounts(spark, sf).filter("kind = 'close'")
+
+
 @query("symbol ts tie", "reward", f"""select symbol, ts, tie, case when abs(reward) < 10000 then reward end as reward from (select symbol, ts, tie, exp(abs(x) * 0.1) * x + 0.01 * abs(pos - coalesce(lag(pos) over {WIN}, 0)) as reward from
        (select *, pos * (lead(price, 3) over {WIN} / price - 1) as x from (select *, case when volume > 50 then 1.0 else 0.0 end as pos from t)))""", T, digits=5)
 def rl_reward(spark, sf):  # noqa: ANN001, ANN201

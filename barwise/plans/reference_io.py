@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,16 +11,14 @@ from pyspark.sql import functions as F
 from barwise.functions.frames import full, rolling
 from barwise.operators import clean as C
 from barwise.plans.reference import BA, PR, WIN, T, _COLS, _PAIRS, _p, _rates, _RATE, query
-from barwise.session import number, table
+from barwise.session import bounded, number, shared_folder, table
 from barwise.sources import views as V
 from barwise.sources.store import TableStore, download
 from barwise.streaming.bars import clock_bars, volume_bars_stream
 
 
 def _shared(spark: SparkSession) -> str:
-    """A fresh folder that all executors see: below the cluster's shared one where it is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barwise-")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return shared_folder(spark, "store")
 
 
 def _stored(spark: SparkSession, sf: str) -> TableStore:

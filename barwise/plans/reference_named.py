@@ -34,7 +34,7 @@ for _name, _of, _cols in (
     ("dist_sq_angular", "dist_metrics", "g sq_angular"), ("dist_euclidean", "dist_metrics", "g euclidean"), ("dist_manhattan", "dist_metrics", "g manhattan"), ("dist_chebyshev", "dist_metrics", "g chebyshev"),
     ("codep_cosine", "dist_metrics", "g cosine"), ("codep_kl", "codep_kl_js", "kl"), ("codep_js", "codep_kl_js", "js"), ("codep_mutual_info", "codep_information", "g mutual"),
     ("codep_variation_info", "codep_information", "g variation"), ("sb_cusum_pos", "sb_cusum", _ROW + "s_pos pos_break"), ("sb_cusum_neg", "sb_cusum", _ROW + "s_neg neg_break"),
-    ("feat_indicator_copy", "ind_macd", _ROW + "dea macd"), ("bt_account_open", "perf_position", _ROW + "long_avg_price short_avg_price"), ("bt_account_close", "perf_position", _ROW + "long_position short_position"),
+    ("feat_indicator_copy", "ind_macd", _ROW + "dea macd"),
     ("store_list", "store_catalog", "library table_name"), ("store_write", "store_catalog", "library table_name version"), ("io_h5_save", "io_save_load", _ROW + "price"), ("io_h5_load", "io_save_load", _ROW + "price"),
 ):
     part(_name, _of, _cols)

@@ -7,7 +7,7 @@ join to the planner (sort-merge with AQE skew handling) beyond the limit.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +29,39 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder all executors see, removed when the session's JVM ends.
+
+    It lies below ``spark.checkpoint.dir``.  Where that is unset only a local session, whose executors are one machine,
+    has a place of its own (Spark's scratch folder); on a cluster this is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+        base = spark.sparkContext.getConf().get("spark.local.dir", "/tmp").split(",")[0]
+    at = f"{base.rstrip('/')}/barwise-{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the folder all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barwise-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table written to the shared folder, of which later steps read only the columns they need."""
+    at = shared_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def epoch_us(ts: Column | str) -> Column:
     """Microseconds since 1970 of a zone-less timestamp (independent of the session zone)."""
     ts = F.col(ts) if isinstance(ts, str) else ts
