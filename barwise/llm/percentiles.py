@@ -1,10 +1,10 @@
 """Percentiles of very large numeric columns from mergeable counts (problem 2).
 
 Cumulative frequencies: values are reduced to (group, value, count), which adds up over
-files, days or partitions; the counts are range-sorted - each range of values is a fixed
-sixteenth of an octave, so separately made counts agree on the ranges - running sums are
-taken inside a range, the totals of the lower ranges are added as offset, and the first
-value whose cumulative count reaches the target rank is the percentile.
+files, days or partitions; the counts are range-sorted into ranges drawn from the data, equally
+large however close the values of a group lie; running sums are taken inside a range, the
+totals of the lower ranges are added as offset, and the first value whose cumulative count
+reaches the target rank is the percentile.
 
 With ``rel_error`` 0 the counts are of the values themselves and percentiles are exact
 (nearest rank).  With ``rel_error`` e > 0 a value is replaced by the middle of a
@@ -23,9 +23,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from barwise.functions import frames
 from barwise.session import number
 
-RANGES_PER_OCTAVE = 16
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -66,10 +66,8 @@ def percentiles(counts: DataFrame, keys: Sequence[str], probs: Sequence[float] =
     ``counts`` must have one row per group, metric and value.  Groups without a value give
     no rows; a group with one value has it at every probability.
     """
-    v = F.col("value")
-    level = F.floor(F.log2(F.abs(v)) * RANGES_PER_OCTAVE).cast("int") + 32_768
-    ranged = counts.withColumn("_r", F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("int") * level))
     group = [*keys, "metric"]
+    ranged = frames.ranged(counts, *group, "value").withColumnRenamed("_p", "_r")
     lower = W.partitionBy(*group).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     totals = ranged.groupBy(*group, "_r").agg(F.sum("n").alias("_t"))
     offsets = totals.select(*group, "_r", "_t", F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_off"), F.sum("_t").over(W.partitionBy(*group)).alias("_n"))
