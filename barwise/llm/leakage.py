@@ -1,19 +1,28 @@
 """Evaluation texts leaking into training text (problem 8).
 
-The held-out items form an inverted index with BM25 impacts; each term knows its largest
-impact overall and in each block of items.  Every passage (overlapping windows of words)
-of every document is a query.  As in block-max WAND, work stops as early as the bounds
-allow: a passage whose summed term maxima miss every item's threshold is dropped, then single
-blocks of items are dropped by their block maxima, and only what is left is scored.  The
-bounds are never below the score, so everything above the threshold is retrieved.  Short
-passages that only together make up a leak are retrieved by the word pairs the whole document
-shares with an item in the item's order.  Each retrieved (document, item) pair is then
-verified by local alignment of the words.
+The held-out items form an inverted index whose terms are pairs of neighbouring words, with
+BM25 impacts: each pair has its postings (items and impacts) in blocks of items, the largest
+impact of every block and the largest of all.  Every passage (overlapping windows of
+words) of every document is a query, answered as by block-max WAND, for all passages of a
+batch side by side:
+
+1. a passage whose summed largest impacts miss every threshold is dropped;
+2. its pairs are put in order of their largest impacts; up to the pivot, at which the sum reaches the least
+   threshold, they cannot make an item by themselves, so only postings from the pivot on are opened;
+3. of the blocks these lead to, those whose block maxima over all pairs of the passage miss the
+   block's threshold are skipped;
+4. the items of the other blocks are scored.
+
+No bound is ever below the score, so all items above the threshold of a short passage are
+retrieved.  A document's passages add up, so that short scattered passages which only
+together make up a leak are found: (document, item) goes on from the score of ``least_words``
+damaged words on.  What is retrieved is verified: first by the order and rarity of the pairs, then by
+local alignment of the words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,25 +33,27 @@ from barwise.llm.words import folded, words
 
 K1, B = 1.2, 0.75
 WINDOW, STRIDE, BLOCK = 40, 20, 16
-RUN_PAIRS, LEAST_PAIRS, SHIFT = 3, 8, 4
+#: Windows worked on side by side.
+WINDOWS = 16_384
+SHIFT, BREAK = 4, 8  # words by which a passage may be shifted inside; more words skipped than this make two passages
+RUN_PAIRS, LEAST_PAIRS, LIGHT = 3, 8, 0.5
 
 
 @dataclass(frozen=True)
 class LeakRule:
-    """``part`` sets the BM25 score from which a passage is verified against an item, as a part of what
-    the item's weakest intact passage of ``least_words`` words scores.  The others define a leak: ``least_words`` words of the item in all, in passages of at least ``least_passage`` words
-    of which the share ``agree`` agree (``agree_weight`` when words count by their rarity).
-    ``least_bigrams`` is a bound, not a further condition: 20 words of which every third
-    differs still share five neighbouring pairs with the item, and pairs are only aligned
-    word by word if they share as many.  All pairs of the item count, also those of many
-    items, so that repeated items and the number of items make no difference."""
-
-    part: float = 0.8
+    """``least_words`` words of the item in all, in passages of at least ``least_passage`` words of which the share ``agree``
+    agree (``agree_weight`` when words count by their rarity), make a leak.
+
+    ``part`` sets the BM25 scores from which something is looked at: a passage from that part of what the item's weakest
+    intact passage of ``least_passage`` words scores, a document from that part for ``least_words`` words.  Where 28 % of
+    the words are changed about half of the word pairs are left, where they are changed in the worst places a third.
+    """
+
+    part: float = 0.3
     least_words: int = 20
     least_passage: int = 8
     agree: float = 0.72
     agree_weight: float = 0.66
-    least_bigrams: int = 4
 
 
 class _Vocabulary(dict):
@@ -59,133 +70,192 @@ class _Vocabulary(dict):
         return got
 
 
+def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, member) of all members of the ranges [lo, hi)."""
+    count = hi - lo
+    which = np.repeat(np.arange(len(lo)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
+
+
+def _smallest_window(values: np.ndarray, width: int) -> float:
+    """The smallest sum of ``width`` neighbours; infinite where there are fewer."""
+    run = np.r_[0.0, np.cumsum(values)]
+    return float((run[width:] - run[:-width]).min()) if len(values) >= width else np.inf
+
+
+class Items:
+    """The words of all items and what is counted over all of them, whichever part of them an index holds."""
+
+    def __init__(self, items: Iterable[tuple[int, str]]) -> None:
+        self.terms: dict[str, int] = {}
+        self.ids, self.words = [], []
+        for i, text in items:
+            self.ids.append(i)
+            self.words.append(np.array([self.terms.setdefault(folded(w), len(self.terms)) for w in words(text or "")], "int32"))
+        n, v = len(self.ids), max(1, len(self.terms))
+        self.base = np.int64(v)
+        df = np.bincount(np.concatenate([*[np.unique(w) for w in self.words], np.array([], "int32")]).astype(int), minlength=v)
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype("float32")
+        self.mean = max(1.0, float(np.mean([len(w) for w in self.words]))) if n else 1.0
+        self.pair, df = np.unique(np.concatenate([*[np.unique(self.pairs(w)) for w in self.words], np.array([], "int64")]), return_counts=True)
+        self.pair_idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def pairs(self, w: np.ndarray) -> np.ndarray:
+        return w[:-1].astype("int64") * self.base + w[1:]
+
+
 class Index:
-    """BM25 index of the items with per-term and per-block maxima."""
+    """Postings of the items ``lo`` to ``hi``, with impacts by the counts over all items."""
 
-    def __init__(self, items: list[tuple[int, str]], rule: LeakRule | None = None) -> None:
+    def __init__(self, items: Items, rule: LeakRule | None = None, lo: int = 0, hi: int | None = None) -> None:
         rule = rule or LeakRule()
-        self.ids = np.array([i for i, _ in items], "int64")
-        texts = [[folded(w) for w in words(t or "")] for _, t in items]
-        terms: dict[str, int] = {}
-        self.words = [np.array([terms.setdefault(w, len(terms)) for w in ws], "int32") for ws in texts]
-        n, v = len(items), len(terms)
-        tf = np.zeros((v, n), "float32")
-        for i, ws in enumerate(self.words):
-            np.add.at(tf[:, i], ws, 1)
-        length = np.array([max(1, len(w)) for w in self.words], "float32")
-        df = (tf > 0).sum(1)
-        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype("float32")
-        norm = K1 * (1 - B + B * length / max(1.0, float(length.mean()) if n else 1.0))
-        self.impact = (self.idf[:, None] * tf * (K1 + 1) / (tf + norm)).astype("float32")
-        blocks = -(-n // BLOCK)
-        padded = np.zeros((v, blocks * BLOCK), "float32")
-        padded[:, :n] = self.impact
-        self.block_max = padded.reshape(v, blocks, BLOCK).max(2)
-        self.term_max = np.append(self.impact.max(1) if n else np.zeros(v), 0).astype("float32")
-        self.vocabulary = _Vocabulary(terms)
-        pairs = [np.unique(w[:-1].astype("int64") * max(1, v) + w[1:]) for w in self.words]
-        self.bigrams = pairs
-        # every place of every word pair of every item, in order of the pair
-        place = np.concatenate([*[w[:-1].astype("int64") * max(1, v) + w[1:] for w in self.words], np.array([], "int64")])
-        order = np.argsort(place, kind="stable")
-        self.pair, self.pair_item = place[order], np.repeat(np.arange(n), [max(0, len(w) - 1) for w in self.words])[order]
-        self.pair_at = np.concatenate([*[np.arange(max(0, len(w) - 1)) for w in self.words], np.array([], "int64")])[order]
-        k = rule.least_words
-        weakest = [min((self.impact[np.unique(w[j : j + k]), i].sum() for j in range(len(w) - k + 1)), default=np.inf) for i, w in enumerate(self.words)]
-        self.threshold = (rule.part * np.array(weakest, "float64")).astype("float32") if n else np.array([], "float32")
-        padded_t = np.full(blocks * BLOCK, np.inf, "float32")
-        padded_t[:n] = self.threshold
-        self.block_threshold = padded_t.reshape(blocks, BLOCK).min(1)
-
-    def shared_bigrams(self, item_no: int, text: np.ndarray) -> int:
-        """How many of the item's word pairs, those of a wording many items share among them, stand side by side in the text as well."""
-        pair = text[:-1].astype("int64") * len(self.idf) + text[1:]
-        pair = pair[(text[:-1] >= 0) & (text[1:] >= 0)]
-        own = self.bigrams[item_no]
-        at = np.searchsorted(own, pair)
-        at[at == len(own)] = 0
-        return len(np.unique(pair[own[at] == pair])) if len(own) else 0
+        self.ids, self.words = np.array(items.ids[lo:hi], "int64"), items.words[lo:hi]
+        self.idf, self.base, self.pair = items.idf, items.base, items.pair
+        self.vocabulary = _Vocabulary(items.terms)
+        n, v = len(self.ids), len(self.pair)
+        term, item, impact, self.passage, self.document = [], [], [], np.full(n, np.inf), np.full(n, np.inf)
+        for i, w in enumerate(self.words):
+            at = np.searchsorted(items.pair, items.pairs(w))
+            t, tf = np.unique(at, return_counts=True)
+            hit = items.pair_idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / items.mean))
+            term.append(t), item.append(np.full(len(t), i)), impact.append(hit)
+            if len(w) >= rule.least_words:
+                per_pair = hit[np.searchsorted(t, at)]
+                self.passage[i] = rule.part * _smallest_window(per_pair, rule.least_passage - 1)
+                self.document[i] = rule.part * _smallest_window(per_pair, rule.least_words - 1)
+        join = lambda parts, kind: np.concatenate([*parts, np.array([], kind)]).astype(kind)
+        term, item, impact = join(term, "int64"), join(item, "int64"), join(impact, "float64")
+        order = np.lexsort((item, term))
+        term, self.item, self.impact = term[order], item[order], impact[order]
+        # one entry for each pair and block of items, with its postings and its largest impact
+        self.blocks = np.int64(-(-n // BLOCK) or 1)
+        key = term * self.blocks + self.item // BLOCK
+        self.entry, first = np.unique(key, return_index=True)
+        self.opens = np.r_[first, len(key)]
+        self.block_max = np.maximum.reduceat(self.impact, first) if len(first) else np.array([], "float64")
+        self.lists = np.searchsorted(self.entry, np.arange(v + 1) * self.blocks)
+        self.term_max = np.zeros(v)
+        np.maximum.at(self.term_max, term, self.impact)
+        # the places of each pair of each item, and the weights of all words one after the other
+        at = [np.searchsorted(items.pair, items.pairs(w)) for w in self.words]
+        placed = join([i * np.int64(v) + x for i, x in enumerate(at)], "int64")
+        order = np.argsort(placed, kind="stable")
+        self.placed, self.places = placed[order], join([np.arange(len(x)) for x in at], "int64")[order]
+        self.weights = np.r_[0.0, np.cumsum(self.idf[join(self.words, "int64")], dtype="float64")]
+        self.starts = np.cumsum([0, *[len(w) for w in self.words]])
+        padded = np.full(int(self.blocks) * BLOCK, np.inf)
+        padded[:n] = self.passage
+        self.block_passage = padded.reshape(-1, BLOCK).min(1)
+
+    def known_pairs(self, ids: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, number) of the word pairs the index knows; ids hold all documents' terms."""
+        if len(ids) < 2 or not len(self.pair):
+            return np.array([], "int64"), np.array([], "int64")
+        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        ends = doc_start[1:] - 1
+        both[ends[(ends >= 0) & (ends < len(both))]] = False
+        at = np.flatnonzero(both)
+        key = ids[at].astype("int64") * self.base + ids[at + 1]
+        no = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = self.pair[no] == key
+        return at[hit], no[hit]
 
     def candidates(self, ids: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, item) pairs with a passage scoring at least the item's threshold; ids hold all documents' terms."""
-        if not len(self.ids) or not np.isfinite(self.threshold).any():
+        """(document, item) pairs whose passages, of those that reach the item's threshold for a passage, add up to its threshold for a document."""
+        n = np.int64(max(1, len(self.ids)))
+        if not np.isfinite(self.document).any():
             return np.array([], "int64"), np.array([], "int64")
-        least = float(self.threshold.min())
+        pos, pair = self.known_pairs(ids, doc_start)
         size = np.diff(np.r_[doc_start, len(ids)])
         per_doc = np.maximum(1, -(-(size - (WINDOW - STRIDE)) // STRIDE))
         doc = np.repeat(np.arange(len(size)), per_doc)
-        no = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-        lo = doc_start[doc] + no * STRIDE
-        hi = np.minimum(lo + WINDOW, doc_start[doc] + size[doc])
-        total = np.r_[0.0, np.cumsum(self.term_max[ids], dtype="float64")]
-        left = np.flatnonzero((hi > lo) & (total[hi] - total[lo] >= least - 1e-4))
-        pairs: list[np.ndarray] = []
-        for part in np.array_split(left, max(1, len(left) // 4096)):
-            if not len(part):
-                continue
-            count = hi[part] - lo[part]
-            row = np.repeat(np.arange(len(part)), count)
-            at = np.repeat(lo[part] - (np.cumsum(count) - count), count) + np.arange(len(row))
-            term = ids[at]
-            key = np.unique(row[term >= 0].astype("int64") * len(self.idf) + term[term >= 0])  # a term counts once
-            row, term = key // len(self.idf), key % len(self.idf)
-            if not len(row):
-                continue
-            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            who = row[begin]
-            bound = np.add.reduceat(self.block_max[term], begin, axis=0)
-            for blk in np.flatnonzero((bound >= self.block_threshold - 1e-3).any(0)):
-                keep = bound[:, blk] >= self.block_threshold[blk] - 1e-3
-                rows = np.flatnonzero(keep)
-                entry = np.repeat(keep, np.diff(np.r_[begin, len(row)]))
-                cut = np.flatnonzero(np.r_[True, np.diff(row[entry]) != 0])
-                score = np.add.reduceat(self.impact[term[entry], blk * BLOCK : (blk + 1) * BLOCK], cut, axis=0)
-                w, i = np.nonzero(score >= self.threshold[blk * BLOCK : (blk + 1) * BLOCK])
-                pairs.append(doc[part[who[rows[w]]]] * np.int64(len(self.ids)) + blk * BLOCK + i)
-        found = np.unique(np.concatenate(pairs)) if pairs else np.array([], "int64")
-        return found // max(1, len(self.ids)), found % max(1, len(self.ids))
-
-    def scattered(self, ids: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, item) pairs whose shared word pairs, added up over the whole document, may make up a leak.
-
-        Shared pairs count where at least ``RUN_PAIRS`` of them follow each other as in the item, with up to ``SHIFT``
-        words added or missing in between: a passage of 8 words of which two are changed still has three pairs, and
-        passages of 20 words in all of which 28 % are changed keep at least ``LEAST_PAIRS``.
+        first = doc_start[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)) * STRIDE
+        last = np.minimum(first + WINDOW, doc_start[doc] + size[doc]) - 1
+        lo, hi = np.searchsorted(pos, first), np.searchsorted(pos, last)
+        total = np.r_[0.0, np.cumsum(self.term_max[pair])]
+        span = np.searchsorted(pos, np.r_[doc_start, len(ids)])
+        whole = (total[span[1:]] - total[span[:-1]])[doc] >= self.document.min() - 1e-6
+        left = np.flatnonzero(whole & (total[hi] - total[lo] >= self.passage.min() - 1e-6) & (hi > lo))
+        held = [np.array([], "int64")]
+        for at in range(0, len(left), WINDOWS):
+            part = left[at : at + WINDOWS]
+            window, posting = self._passages(pair, lo[part], hi[part])
+            held.append(np.unique(doc[part[window]] * np.int64(len(self.item)) + posting))
+        # a pair of words counts once in a document, however many passages hold it
+        held = np.unique(np.concatenate(held))
+        posting = held % max(1, len(self.item))
+        found, back = np.unique(held // max(1, len(self.item)) * n + self.item[posting], return_inverse=True)
+        sums = np.bincount(back, self.impact[posting], len(found))
+        found = found[sums >= self.document[found % n] - 1e-6]
+        return self._in_order(ids, doc_start, pos, pair, span, found // n, found % n)
+
+    def _passages(self, pair: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, posting) of the pairs of all windows of known pairs [lo, hi) in items that reach the item's threshold for a passage."""
+        window, at = _expand(lo, hi)
+        key = np.unique(window * np.int64(len(self.pair)) + pair[at])  # a pair counts once
+        window, term = key // len(self.pair), key % len(self.pair)
+        rank = np.lexsort((self.term_max[term], window))
+        run = np.cumsum(self.term_max[term[rank]])
+        begin = np.searchsorted(window, np.arange(len(lo) + 1))
+        run -= np.r_[0.0, run][begin[window]]
+        from_pivot = rank[run >= self.passage.min() - 1e-6]
+        # blocks the pairs from the pivot on lead to, and their bounds over all pairs of the window
+        which, entry = _expand(self.lists[term[from_pivot]], self.lists[term[from_pivot] + 1])
+        block = np.unique(window[from_pivot][which] * self.blocks + self.entry[entry] % self.blocks)
+        which, at = _expand(begin[block // self.blocks], begin[block // self.blocks + 1])
+        want = term[at] * self.blocks + (block % self.blocks)[which]
+        entry = np.minimum(np.searchsorted(self.entry, want), len(self.entry) - 1)
+        hit = self.entry[entry] == want
+        which, entry = which[hit], entry[hit]
+        bound = np.bincount(which, self.block_max[entry], len(block))
+        keep = (bound >= self.block_passage[block % self.blocks] - 1e-6)[which]
+        which, entry = which[keep], entry[keep]
+        # the items of the other blocks
+        of, posting = _expand(self.opens[entry], self.opens[entry + 1])
+        who, back = np.unique((block[which[of]] // self.blocks) * np.int64(len(self.ids)) + self.item[posting], return_inverse=True)
+        score = np.bincount(back, self.impact[posting], len(who))
+        keep = (score >= self.passage[who % len(self.ids)] - 1e-6)[back]
+        return who[back[keep]] // len(self.ids), posting[keep]
+
+    def _in_order(self, ids: np.ndarray, doc_start: np.ndarray, pos: np.ndarray, pair: np.ndarray, span: np.ndarray, docs: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the retrieved (document, item) whose pairs stand in the item's order as well.
+
+        Pairs near one diagonal of document and item (up to ``SHIFT`` words added or missing) and near each other form a run; a run
+        counts from ``RUN_PAIRS`` pairs and the part ``LIGHT`` of the weight of the words it spans on: a passage of 8 words of which two
+        are changed still has three, and passages of 20 words in all of which 28 % are changed keep ``LEAST_PAIRS``.
         """
-        none = np.array([], "int64"), np.array([], "int64")
-        if len(ids) < 2 or not len(self.pair):
-            return none
-        n, longest = len(self.ids), max(len(w) for w in self.words)
-        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        ends = doc_start[1:] - 1
-        both[ends[(ends >= 0) & (ends < len(both))]] = False
-        at = np.flatnonzero(both)
-        key = ids[at].astype("int64") * len(self.idf) + ids[at + 1]
-        lo = np.searchsorted(self.pair, key)
-        at, key, lo = (x[self.pair[np.minimum(lo, len(self.pair) - 1)] == key] for x in (at, key, lo))
-        if not len(at):
-            return none
-        count = np.searchsorted(self.pair, key, "right") - lo
-        row = np.repeat(np.arange(len(at)), count)
-        hit = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(row))
-        pos, item, place = at[row], self.pair_item[hit], self.pair_at[hit]
-        doc = np.searchsorted(doc_start, pos, "right") - 1
-        who = doc * np.int64(n) + item
-        # a passage is a run of hits that lie on (nearly) one diagonal of document and item
-        width = len(ids) + longest + SHIFT + 2
-        diagonal = who * np.int64(width) + (pos - place + longest)
+        which, at = _expand(span[docs], span[docs + 1])
+        want = items[which] * np.int64(len(self.pair)) + pair[at]
+        first, last = np.searchsorted(self.placed, want), np.searchsorted(self.placed, want, "right")
+        some = last > first
+        hit, of = _expand(first[some], last[some])
+        which, where, place = which[some][hit], pos[at[some][hit]], self.places[of]
+        if not len(which):
+            return docs[:0], items[:0]
+        longest = int(self.places.max()) + 2
+        diagonal = which * np.int64(len(ids) + longest + SHIFT + 2) + (where - place + longest)
         order = np.argsort(diagonal, kind="stable")
-        run = np.cumsum(np.r_[0, np.diff(diagonal[order]) > SHIFT])
-        at_item = np.unique(run * np.int64(longest) + place[order])  # a place of the item counts once in a run
-        keep = np.bincount(at_item // longest, minlength=run[-1] + 1) >= RUN_PAIRS
-        places = np.unique(who[order][keep[run]] * np.int64(longest) + place[order][keep[run]])
-        found, pairs = np.unique(places // longest, return_counts=True)
-        found = found[pairs >= LEAST_PAIRS]
-        return found // n, found % n
+        run = np.empty(len(order), "int64")
+        run[order] = np.cumsum(np.r_[0, np.diff(diagonal[order]) > SHIFT])
+        spot = np.unique(run * np.int64(longest) + place)  # a place of the item counts once in a run
+        _, spot_at = np.unique(run, return_index=True)
+        of_run, at_place = spot // longest, spot % longest
+        owner = which[spot_at][of_run]
+        begin = np.flatnonzero(np.r_[True, (np.diff(of_run) > 0) | (np.diff(spot) > BREAK)])
+        end = np.r_[begin[1:], len(spot)] - 1
+        base = self.starts[items[owner]]
+        word = self.weights[base + at_place + 1] - self.weights[base + at_place]
+        after = self.weights[base + at_place + 2] - self.weights[base + at_place + 1]
+        fresh = np.r_[True, np.diff(spot) > 1]  # the first word of a pair next to the one before is counted there already
+        matched = np.add.reduceat(after + np.where(fresh, word, 0.0), begin)
+        spanned = self.weights[base[end] + at_place[end] + 2] - self.weights[base[begin] + at_place[begin]]
+        pairs = end - begin + 1
+        good = (pairs >= RUN_PAIRS) & (matched >= LIGHT * spanned)
+        sums = np.bincount(owner[begin][good], pairs[good], len(docs))
+        return docs[sums >= LEAST_PAIRS], items[sums >= LEAST_PAIRS]
 
 
 GAP = 0.6
-BREAK = 8  # an alignment that skips more words than this is two passages
 
 
 def _align(items: list[np.ndarray], texts: list[np.ndarray]) -> list[tuple[float, list[tuple[int, int]]]]:
@@ -259,7 +329,7 @@ def _overlap(index: Index, item_no: int, text: np.ndarray, rule: LeakRule) -> Ge
     free = item.copy()
     for start in range(0, max(1, len(text) - OVERLAP), SEGMENT - OVERLAP):
         part = text[start : start + SEGMENT].copy()
-        for _ in range(12):
+        while True:  # until nothing is left: every round takes words out of the part
             score, pairs = yield free, part
             if score < 3.5 or len(pairs) < 4:
                 break
@@ -276,8 +346,8 @@ def _overlap(index: Index, item_no: int, text: np.ndarray, rule: LeakRule) -> Ge
     return int(covered.sum()), passages, matched / max(1, int(covered.sum()))
 
 
-#: Items and characters of an index shard at most: the index holds one impact per term and item.
-MAX_ITEMS, MAX_CHARS = 500, 4_000_000
+#: Words of items an index holds at most; beyond that the items are searched in parts, one scan each, with the counts over all of them.
+MAX_WORDS = 50_000_000
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", rule: LeakRule | None = None) -> DataFrame:
@@ -288,26 +358,21 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     punctuation, spacing, line breaks, hyphenation, look-alike characters, scanning errors
     and reference signs make no difference, and about one word in five may differ.
 
-    The index is shipped to the executors; its size is checked, and beyond ``MAX_ITEMS`` items
-    or ``MAX_CHARS`` characters they are indexed in shards, with one scan of the documents and term statistics for
-    each.  Null and empty texts hold nothing, items shorter than ``least_words`` cannot be
-    leaked, items that repeat under several ids are reported for each, repeated documents
+    The index is shipped to the executors and the documents are read once for all items, up to ``MAX_WORDS`` words of
+    items; beyond that once for each part of them, with the same results.  Null and empty texts hold nothing, items shorter
+    than ``least_words`` cannot be leaked, items that repeat under several ids are reported for each, repeated documents
     likewise; texts of any length are read whole; empty tables give no rows.
     """
     rule = rule or LeakRule()
     rows = items.select(item_id, text).filter(f"{item_id} is not null and {text} is not null").orderBy(item_id)
     schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, words int, passages int, agreement double"
-    spark = docs.sparkSession
     source = docs.select(doc_id, text).filter(f"{text} is not null")
-    out, shard = spark.createDataFrame([], schema), []
-    parts: list[list[tuple[int, str]]] = []
-    for r in rows.toLocalIterator():
-        shard.append((r[0], r[1]))
-        if len(shard) >= MAX_ITEMS or sum(len(t) for _, t in shard) >= MAX_CHARS:
-            parts.append(shard)
-            shard = []
-    for part in [*parts, *([shard] if shard else [])]:
-        out = out.unionByName(_search(source, Index(part, rule), rule, schema))
+    held = Items((r[0], r[1]) for r in rows.toLocalIterator())
+    part = np.cumsum([len(w) for w in held.words]) // MAX_WORDS
+    out = docs.sparkSession.createDataFrame([], schema)
+    for no in np.unique(part):
+        at = np.flatnonzero(part == no)
+        out = out.unionByName(_search(source, Index(held, rule, int(at[0]), int(at[-1]) + 1), rule, schema))
     return out
 
 
@@ -317,19 +382,17 @@ def _search(source: DataFrame, index: Index, rule: LeakRule, schema: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shipped.value
+        look = ix.vocabulary.__getitem__
         for b in batches:
-            size, flat, look = [], [], ix.vocabulary
+            size, flat = [], []
             for t in b.column(1).to_pylist():
-                ws = words(t)
-                flat += [look[w] for w in ws]
-                size.append(len(ws))
-            ids = np.array(flat, "int32")
-            start = np.cumsum(size) - size if size else np.array([], int)
-            docs, found = (np.concatenate(x) for x in zip(ix.candidates(ids, np.asarray(start, "int64")), ix.scattered(ids, np.asarray(start, "int64"))))
-            both = np.unique(docs * np.int64(max(1, len(ix.ids))) + found)
-            docs, found = both // max(1, len(ix.ids)), both % max(1, len(ix.ids))
+                before = len(flat)
+                flat.extend(map(look, words(t)))
+                size.append(len(flat) - before)
+            ids, size = np.array(flat, "int32"), np.array(size, "int64")
+            start = np.cumsum(size) - size
+            docs, found = ix.candidates(ids, start)
             look_at = [(d, i, ids[start[d] : start[d] + size[d]]) for d, i in zip(docs.tolist(), found.tolist())]
-            look_at = [x for x in look_at if ix.shared_bigrams(x[1], x[2]) >= rule.least_bigrams]
             held = overlaps(ix, [x[1:] for x in look_at], rule)
             hits = [(d, i, *got) for (d, i, _), got in zip(look_at, held) if got[0] >= rule.least_words]
             d, i, n, p, s = (list(x) for x in zip(*hits)) if hits else ([], [], [], [], [])

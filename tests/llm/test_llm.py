@@ -77,6 +77,9 @@ def leaks(spark, texts, items=((1, ITEM), (2, OTHER), (3, ITEM), (4, None), (5,
     return {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(docs, its).collect()}
 
 
+WORDS = [f"{a}{b}{c}" for a in ("mor", "tel", "vis", "kan", "pur", "dol", "sem") for b in ("da", "lo", "ri", "ne", "su", "ka") for c in ("ban", "tor", "mel", "gis", "pur", "vek")]
+
+
 def damaged(text, seed):
     rng, out = random.Random(seed), []
     for w in text.split():
@@ -102,10 +105,16 @@ def test_leaks(spark):
     assert {i for _, i in got} == {1, 3}
 
 
-def test_leaks_in_shards_and_empty(spark, monkeypatch):
-    whole = leaks(spark, [ITEM, OTHER, FILL])
-    monkeypatch.setattr(leakage, "MAX_ITEMS", 2)
-    assert leaks(spark, [ITEM, OTHER, FILL]) == whole == {(0, 1), (0, 3), (1, 2)}
+def test_leaks_in_parts_and_empty(spark, monkeypatch):
+    """Items searched in several parts, repeated ones among them, give what one index gives."""
+    rng = random.Random(4)
+    items = [(1, ITEM), (2, OTHER), (3, ITEM), *((10 + i, " ".join(rng.choices(WORDS, k=40))) for i in range(12)), (40, ITEM), (41, ITEM)]
+    texts = [ITEM, OTHER, FILL, damaged(ITEM, 5), *(FILL + damaged(t, i) + FILL for i, t in items[3:9])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: sorted(leakage.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    whole = found()
+    monkeypatch.setattr(leakage, "MAX_WORDS", 90)
+    assert found() == whole and {(0, 1), (0, 3), (0, 40), (0, 41), (1, 2)} <= {(r[0], r[1]) for r in whole}
     assert leaks(spark, []) == set() and leaks(spark, [ITEM], []) == set()
 
 
@@ -131,27 +140,53 @@ def test_leaks_of_an_item_under_many_ids(spark, copies, others):
     assert leaks(spark, [FILL + ITEM + FILL, FILL], items) == {(0, i) for i in range(copies)}
 
 
+@pytest.mark.parametrize("length", [8, 9, 10, 12, 15, 20, 30])
+def test_recall_of_scattered_passages(length):
+    """Items cut into passages of one length, far apart, in other text; each word changed, lost or preceded by another one in 15 % of cases."""
+    rng = random.Random(length)
+    items = [(i, " ".join(rng.choices(WORDS, k=72))) for i in range(40)]
+    ix, texts = leakage.Index(leakage.Items(items)), []
+    for i, text in items:
+        ws, parts = damaged(text, i).split(), []
+        for k in range(0, len(ws), length):
+            parts += [" ".join(rng.choices(WORDS, k=60)), " ".join(ws[k : k + length])]
+        texts.append(" ".join(parts))
+    docs = [np.array([ix.vocabulary[w] for w in words(t)], "int32") for t in texts]
+    size = np.array([len(d) for d in docs])
+    got = set(zip(*[x.tolist() for x in ix.candidates(np.concatenate(docs), np.cumsum(size) - size)]))
+    assert sum((i, i) in got for i in range(40)) >= 36
+    held = leakage.overlaps(ix, [(i, docs[i]) for i in range(40)], leakage.LeakRule())
+    assert sum(h[0] >= 20 for h in held) >= 36
+
+
+def test_thousands_of_items_in_one_scan(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices(WORDS, k=30))) for i in range(5000)]
+    docs = spark.createDataFrame([(i, FILL + items[i * 37][1] + FILL) for i in range(100)], "doc_id long, text string")
+    out = leakage.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(i, i * 37) for i in range(100)} == {(r[0], r[1]) for r in out.collect()}
+
+
 def test_bounds_lose_no_candidate():
-    """Whatever is scored exhaustively above the threshold is retrieved through the bounds."""
+    """Whatever scores above the threshold of a passage when all items are scored is retrieved through the bounds."""
     rng = random.Random(0)
-    vocabulary = [f"w{i}q" for i in range(120)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=30))) for i in range(70)]
-    ix = leakage.Index(items)
-    docs = [[ix.vocabulary[w] for w in words(" ".join(rng.choices(vocabulary, k=rng.randrange(0, 200))))] for _ in range(40)]
-    ids = np.array([x for d in docs for x in d], "int32")
-    size = np.array([len(d) for d in docs])
-    for part in (0.2, 0.4, 0.6):
-        ix.threshold *= part / 0.75
-        ix.block_threshold *= part / 0.75
-        got = set(zip(*[x.tolist() for x in ix.candidates(ids, np.cumsum(size) - size)]))
-        want = set()
-        for d, ws in enumerate(docs):
-            for lo in range(0, max(1, len(ws) - (leakage.WINDOW - leakage.STRIDE)), leakage.STRIDE):
-                terms = sorted({t for t in ws[lo : lo + leakage.WINDOW] if t >= 0})
-                want |= {(d, int(i)) for i in np.flatnonzero(ix.impact[terms].sum(0) >= ix.threshold + 1e-3)} if terms else set()
-        assert want <= got and (want or part > 0.2)
-        ix.threshold *= 0.75 / part
-        ix.block_threshold *= 0.75 / part
+    vocabulary = [f"w{i}q" for i in range(30)]
+    items = leakage.Items([(i, " ".join(rng.choices(vocabulary, k=30))) for i in range(70)])
+    docs = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 200))) for _ in range(40)]
+    for part in (0.2, 0.5, 0.9):
+        ix = leakage.Index(items, leakage.LeakRule(part=part))
+        ids = [np.array([ix.vocabulary[w] for w in words(d)], "int32") for d in docs]
+        size = np.array([len(d) for d in ids])
+        pos, pair = ix.known_pairs(np.concatenate(ids), np.cumsum(size) - size)
+        lo = np.arange(0, len(pair), 10)
+        hi = np.minimum(lo + 20, len(pair))
+        window, posting = ix._passages(pair, lo, hi)
+        got = set(zip(window.tolist(), ix.item[posting].tolist()))
+        impact = np.zeros((len(items.pair), 70))
+        impact[ix.entry[np.searchsorted(ix.opens, np.arange(len(ix.item)), "right") - 1] // ix.blocks, ix.item] = ix.impact
+        want = {(w, int(i)) for w in range(len(lo)) for i in np.flatnonzero(impact[np.unique(pair[lo[w] : hi[w]])].sum(0) >= ix.passage + 1e-3)}
+        assert want <= got and (want or part == 0.9)
 
 
 # ---------------------------------------------------------------- mixing
