@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barwise.functions.frames import rolling, running
 from barwise.operators.quantiles import quantiles
-from barwise.session import bounded
+from barwise.session import bounded, stored
 
 
 def clip_quantile(df: DataFrame, value: str = "price", low: float = 0.01, high: float = 0.99, by: str = "symbol") -> DataFrame:
@@ -59,7 +59,7 @@ def consistent_log_price(df: DataFrame, variance: float = 0.01) -> DataFrame:
 def normalised_rates(df: DataFrame, target: float = 0.01) -> DataFrame:
     """``symbol, ts, rate, close, hour, weekday``: rates p / p_prev (first 1), winsorised at 1 % and 99 %, scaled to
     a population deviation of ``target``, compounded; hour and weekday (Monday 0) of ``ts``."""
-    r = changes(df).withColumn("rate", F.coalesce(F.col("pct") + 1, F.lit(1.0)))
+    r = stored(changes(df).select("symbol", "ts", "tie", "rn", F.coalesce(F.col("pct") + 1, F.lit(1.0)).alias("rate")))
     r = clip_quantile(r, "rate").withColumn("_x", F.col("clipped") - 1)
     std = r.groupBy("symbol").agg(F.stddev_pop("_x").alias("_s"))
     r = r.join(bounded(std), "symbol").withColumn("_scaled", F.when(F.col("rn") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("_x") * target, F.col("_s"))))

@@ -21,11 +21,12 @@ def asof_forward(left: DataFrame, right: DataFrame, at: str, stretch_s: int = 86
     ident = F.struct(*left.columns)
     x = left.select("symbol", epoch_us(at).alias("_t"), ident.alias("_left")).filter("_t is not null").withColumn("_b", floor_div(F.col("_t"), us))
     both = x.unionByName(r.withColumn("_first", F.lit(1)), allowMissingColumns=True)
-    after = W.partitionBy("symbol", "_b").orderBy("_t", F.col("_first").asc_nulls_first()).rowsBetween(0, W.unboundedFollowing)
-    both = both.withColumn("_n", F.first("_r", True).over(after)).filter("_left is not null")
+    # from late to early, so that frames only ever grow
+    after = W.partitionBy("symbol", "_b").orderBy(F.col("_t").desc(), F.col("_first").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("_n", F.last("_r", True).over(after)).filter("_left is not null")
     heads = r.groupBy("symbol", "_b").agg(F.min_by("_r", "_t").alias("_h")).unionByName(x.select("symbol", "_b").distinct(), allowMissingColumns=True)
     heads = heads.groupBy("symbol", "_b").agg(F.max("_h").alias("_h"))
-    later = heads.withColumn("_next", F.first("_h", True).over(W.partitionBy("symbol").orderBy("_b").rowsBetween(1, W.unboundedFollowing)))
+    later = heads.withColumn("_next", F.last("_h", True).over(W.partitionBy("symbol").orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)))
     got = both.join(later.select("symbol", "_b", "_next"), ["symbol", "_b"]).withColumn("_n", F.coalesce("_n", "_next"))
     return got.filter("_n is not null").select("_left.*", F.col("_n.ts").alias("found_ts"), F.col("_n.price").alias("found"))
 

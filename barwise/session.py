@@ -21,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else unchanged.
-
-    The count stops after ``limit + 1`` rows, so the probe itself stays cheap.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder all executors see, removed when the session's JVM ends.
 
@@ -62,6 +54,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is, for the planner to join.
+
+    What is worked out from more than one table (or the same one twice) is written to the shared folder and counted there,
+    so that it is worked out once; otherwise the count stops after ``limit + 1`` rows.
+    """
+    if df._jdf.queryExecution().analyzed().collectLeaves().size() > 1:
+        df = stored(df)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def epoch_us(ts: Column | str) -> Column:
     """Microseconds since 1970 of a zone-less timestamp (independent of the session zone)."""
     ts = F.col(ts) if isinstance(ts, str) else ts
