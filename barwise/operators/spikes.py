@@ -1,50 +1,60 @@
 """Implausible readings: impossible values, brief excursions, frozen values (problem 3).
 
-One pass over the readings, sorted per source and stretch of time, yields (a) the few
-candidate rows and (b) quantile sketches - counts in logarithmic bins, which add up over
-stretches and partitions - of each source's changes, of its sizes per hour of day and of
-its runs of equal values.  The merged sketches give each source its own expanded
-interquartile fences and its longest ordinary run, and the candidates are held against
-them.  Sources with many rows are cut into stretches of about ``TARGET_ROWS`` rows that
-overlap by an eighth, so a hot source is spread over tasks and no reading lacks neighbours.
+Readings that are impossible by themselves are seen in the row.  For the others every source
+is judged by its own normal behaviour, in two passes over its readings in order of time:
+
+1. quantile sketches - counts in logarithmic bins, which add up over blocks of rows and partitions - of
+   its changes from bar to bar and of its sizes, both by hour of day, and counts of its runs of equal values;
+2. from the merged sketches each source gets expanded interquartile fences, of all hours and of each hour, and its
+   longest ordinary run; each block of rows is held against those of its source.
+
+Blocks have equally many rows, with a few lent from their neighbours, so a hot source or a burst
+is spread over tasks; runs that reach over the edge of a block are put together from one row
+per block.  What a block must know travels with its rows, so nothing is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from barwise.session import bounded, checkpointed, epoch_us, floor_div
+from barwise.functions.frames import numbered
+from barwise.session import epoch_us, floor_div, number, stored
 
-TARGET_ROWS = 100_000
+BLOCK, HALO = 65_536, 1_024  # rows of a block, and rows lent to it on each side
 HALF = 5  # neighbours on each side whose median is the local level
 GAMMA = 1.02  # ratio of neighbouring sketch bins: quantiles are within 1 %
+ZERO = 2**20  # added to the bins of values above 0, so that those below 0 can have the same with a minus
 LONGEST = 3  # bars a brief excursion may last
-LEAST_RUN = 10  # shorter runs are never called frozen
+LEAST_READINGS = 8
+HOUR_READINGS = 30  # from which on an hour has fences of its own
+#: Runs from LONG_RUN on are frozen if more than twice as long as the next shorter one; shorter runs only if chance,
+#: with equal neighbours as often as in the shorter runs, makes one in so few sources.
+LONG_RUN, RARE = 10, 1e-4
 
 
 @dataclass(frozen=True)
 class Fences:
-    """How far the fences are expanded.
+    """How far the fences are expanded beyond the quartiles, in interquartile ranges: of all readings and of those of the hour.
 
-    ``change``: per field judged by its changes, multiples of the upper quartile of |change|
-    by which a reading may leave the local level.  ``size``: fields judged by size, with
-    multiples of the interquartile range of log size above its upper quartile, over all of
-    the source and within the hour of day.
+    ``change``: fields whose departure from the local level is held against their changes from bar to bar.  ``size``: fields
+    whose logarithm is held against that of other readings, upwards.
     """
 
-    change: Mapping[str, float] = field(default_factory=lambda: {"close": 9.0, "position": 20.0})
+    change: Mapping[str, tuple[float, float]] = field(default_factory=lambda: {"close": (9.3, 4.0), "position": (18.0, 8.0)})
     size: Mapping[str, tuple[float, float]] = field(default_factory=lambda: {"volume": (3.4, 2.6)})
 
+    @property
+    def fields(self) -> list[str]:
+        return [*self.change, *self.size]
+
 
-SCHEMA = "src string, field string, kind string, id long, a double, b int, hour int, n long"
-_COLS = ["src", "field", "kind", "id", "a", "b", "hour", "n"]
+SKETCH = "symbol string, field string, kind string, hour int, b int, a double, n long, _blk long"
 
 
 def _local_median(y: np.ndarray) -> np.ndarray:
@@ -58,177 +68,112 @@ def _local_median(y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _run_lengths(flag_change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start index, length) of runs; flag_change marks where a new run begins."""
-    start = np.flatnonzero(flag_change)
-    return start, np.diff(np.r_[start, len(flag_change)])
-
-
-def _sketch(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, count); non-positive values go to the lowest bin."""
-    b = np.full(len(values), -(2**30), "int64")
-    pos = values > 0
-    b[pos] = np.ceil(np.log(values[pos]) / np.log(GAMMA)).astype("int64")
-    return np.unique(b, return_counts=True)
-
-
-class _Stretch:
-    """Collects the output of one stretch."""
-
-    def __init__(self, src: str, fences: Fences) -> None:
-        self.src, self.fences, self.out = src, fences, []
-
-    def add(self, name: str, kind: str, ident=0, a=0.0, b=0, hour=-1, n=1) -> None:  # noqa: ANN001
-        sizes = [np.size(x) for x in (ident, a, b, hour, n)]
-        size = max(sizes)
-        if min(sizes):
-            full = [np.broadcast_to(np.asarray(x, t), (size,)) for x, t in ((ident, "int64"), (a, "float64"), (b, "int32"), (hour, "int32"), (n, "int64"))]
-            text = [pa.repeat(pa.scalar(s), size) for s in (self.src, name, kind)]
-            self.out.append(pa.RecordBatch.from_arrays([*text, *[pa.array(x) for x in full]], names=_COLS))
-
-    def scan(self, t: np.ndarray, ident: np.ndarray, own: np.ndarray, cols: Mapping[str, np.ndarray]) -> None:
-        first = np.r_[True, t[1:] != t[:-1]]  # copies of a reading share its time
-        bar = np.cumsum(first) - 1
-        start = np.flatnonzero(first)
-        hour = (t[start] // 3_600_000_000 % 24).astype("int32")
-        own_bar = own[start]
-        for name in [*self.fences.change, *self.fences.size]:
-            v = cols[name]
-            bad = (v <= 0) | (v < cols["low"] - 1e-9 * np.abs(v)) | (v > cols["high"] + 1e-9 * np.abs(v)) if name == "close" else v < 0
-            bad |= np.isinf(v)
-            hit = bad & own
-            self.add(name, "impossible", ident=ident[hit])
-            usable = np.where(bad | np.isnan(v), len(v), np.arange(len(v)))
-            pick = np.minimum.reduceat(usable, start)
-            has = pick < len(v)
-            at = np.flatnonzero(has)  # bars with a usable reading, in order
-            if not len(at):
-                continue
-            y = v[pick[at]]
-            rows_of = lambda chosen, y=y, at=at, v=v: self._rows(chosen, y, at, v, bar, own)
-            self._runs(name, y, own_bar[at], rows_of, ident)
-            if name in self.fences.change:
-                self._changes(name, y, own_bar[at], rows_of, ident)
+def _runs(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, length) of the runs of equal values."""
+    start = np.flatnonzero(np.r_[True, y[1:] != y[:-1]]) if len(y) else np.array([], int)
+    return start, np.diff(np.r_[start, len(y)])
+
+
+def _bins(values: np.ndarray) -> np.ndarray:
+    """Sketch bins, in the order of the values."""
+    out, some = np.zeros(len(values), "int64"), values != 0
+    out[some] = np.sign(values[some]) * (ZERO + np.ceil(np.log(np.abs(values[some])) / np.log(GAMMA)))
+    return out
+
+
+def _value(b: str) -> Column:
+    """The value a sketch bin stands for."""
+    return F.when(F.col(b) == 0, 0.0).otherwise(F.signum(b) * F.exp((F.abs(b) - ZERO) * F.lit(float(np.log(GAMMA)))))
+
+
+class _Bars:
+    """A block's bars with a usable reading of one field: ``y`` in order of time, ``own`` those that are not lent."""
+
+    def __init__(self, t: pa.Table, name: str) -> None:
+        ts, order = t.column("ts").to_numpy(), np.argsort(t.column("rn").to_numpy(), kind="stable")
+        self.v = np.asarray(t.column(name).to_numpy(), "float64")[order]  # null becomes NaN
+        self.ident, self.own_row = t.column("tie").to_numpy()[order], t.column("own").to_numpy()[order].astype(bool)
+        ts = ts[order]
+        start = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]])  # copies of a reading share its time
+        self.bar = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(ts)]))
+        pick = np.minimum.reduceat(np.where(np.isnan(self.v), len(ts), np.arange(len(ts))), start)
+        self.at = np.flatnonzero(pick < len(ts))
+        self.y = self.v[pick[self.at]]
+        self.own = self.own_row[start[self.at]]
+        self.hour = (ts[start[self.at]] // 3_600_000_000 % 24).astype("int64")
+
+    def rows(self, chosen: np.ndarray) -> np.ndarray:
+        """Ids of the own rows that carry the chosen readings, copies included."""
+        value = np.full(self.bar[-1] + 1, np.nan)
+        value[self.at[chosen]] = self.y[chosen]
+        return self.ident[(self.v == value[self.bar]) & self.own_row]
+
+
+def _sketches(fences: Fences) -> Callable[[pa.Table], pa.Table]:
+    def scan(t: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        blk = t.column("_blk")[0].as_py()
+
+        def add(name: str, kind: str, hour: np.ndarray, b: np.ndarray) -> None:
+            (h, b), n = np.unique(np.stack([hour, b]), axis=1, return_counts=True)
+            out.extend((name, kind, int(i), int(j), 0.0, int(k), blk) for i, j, k in zip(h, b, n))
+
+        for name in fences.fields:
+            bars = _Bars(t, name)
+            y, own = bars.y, bars.own
+            if name in fences.change:
+                add(name, "change", bars.hour[1:][own[1:]], _bins(np.diff(y))[own[1:]])
             else:
-                self._sizes(name, y, own_bar[at], hour[at], rows_of, ident)
-
-    @staticmethod
-    def _rows(chosen: np.ndarray, y: np.ndarray, at: np.ndarray, v: np.ndarray, bar: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, position in ``chosen``) of the own rows that carry the chosen readings, copies included."""
-        place = np.full(bar[-1] + 1, -1)
-        place[at[chosen]] = np.arange(len(chosen))
-        row = np.flatnonzero((place[bar] >= 0) & own)
-        pos = place[bar[row]]
-        same = v[row] == y[chosen][pos]
-        return row[same], pos[same]
-
-    def _runs(self, name, y, own, rows_of, ident) -> None:  # noqa: ANN001
-        start, length = _run_lengths(np.r_[True, y[1:] != y[:-1]])
-        lens, counts = np.unique(length[own[start]], return_counts=True)
-        self.add(name, "run_sketch", b=lens, n=counts)
-        long = np.flatnonzero(length >= LEAST_RUN)
-        if len(long):
-            chosen = np.concatenate([np.arange(start[i] + 1, start[i] + length[i]) for i in long])
-            row, pos = rows_of(chosen)
-            self.add(name, "run", ident=ident[row], b=np.repeat(length[long], length[long] - 1)[pos])
-
-    def _brief(self, out: np.ndarray) -> np.ndarray:
-        """The marked readings that stand in marked runs of at most LONGEST."""
-        start, length = _run_lengths(np.r_[True, out[1:] != out[:-1]])
-        return np.flatnonzero(out & (np.repeat(length, length) <= LONGEST))
-
-    def _changes(self, name, y, own, rows_of, ident) -> None:  # noqa: ANN001
-        if len(y) < 8:
-            return
-        change = np.abs(np.diff(y))
-        bins, counts = _sketch(change[own[1:]])
-        self.add(name, "change_sketch", b=bins, n=counts)
-        moved = change[change > 0]
-        scale = np.quantile(change, 0.75) or (np.quantile(moved, 0.75) if len(moved) else 0.0)
-        away = np.abs(y - _local_median(y))
-        k = self.fences.change[name]
-        # a wider fence here than the final one, since the stretch's own scale may differ from the source's
-        wide = away > 0.45 * k * scale
-        chosen = self._brief(wide & (away > k * scale)) if scale else np.array([], "int64")
-        chosen = np.union1d(chosen, self._brief(wide)).astype("int64") if scale else chosen
-        if len(chosen):
-            row, pos = rows_of(chosen)
-            self.add(name, "away", ident=ident[row], a=away[chosen][pos])
-
-    def _sizes(self, name, y, own, hour, rows_of, ident) -> None:  # noqa: ANN001
-        size = np.where(y > 0, np.log(np.maximum(y, 1e-300)), np.nan)
-        for h in np.unique(hour[own]):
-            part = y[own & (hour == h) & (y > 0)]
-            if len(part):
-                bins, counts = _sketch(part)
-                self.add(name, "size_sketch", b=bins, n=counts, hour=h)
-        pos_y = size[~np.isnan(size)]
-        if len(pos_y) < 8:
-            return
-        q1, q3 = np.quantile(pos_y, [0.25, 0.75])
-        k = self.fences.size[name][0]
-        big = np.nan_to_num(size, nan=-np.inf) > q3 + 0.6 * k * max(q3 - q1, 0.05)
-        far = np.nan_to_num(size, nan=-np.inf) > q3 + k * max(q3 - q1, 0.05)
-        chosen = np.union1d(self._brief(big & far), self._brief(big)).astype("int64")
-        if len(chosen):
-            row, pos = rows_of(chosen)
-            self.add(name, "size", ident=ident[row], a=size[chosen][pos], hour=hour[chosen][pos])
-
-
-def _scanner(fences: Fences, fields: list[str]):  # noqa: ANN202
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            num = lambda c: t.column(c).to_numpy()
-            s = _Stretch(key[0], fences)
-            s.scan(num("t"), num("id"), num("own").astype(bool), {f: np.asarray(t.column(f).to_numpy(), "float64") for f in fields})
-            if s.out:
-                yield pa.Table.from_batches(s.out).combine_chunks().to_batches()[0]
-
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            src, stretch = b.column(0), b.column(1)
-            cut = np.ones(n, bool)
-            if n > 1:
-                cut[1:] = (stretch.to_numpy()[1:] != stretch.to_numpy()[:-1]) | ~pc.equal(src[1:], src[:-1]).to_numpy(zero_copy_only=False)
-            edges = [*np.flatnonzero(cut), n]
-            for i, j in zip(edges, edges[1:]):
-                now = (src[i].as_py(), stretch[i].as_py())
-                if key is not None and now != key:
-                    yield from done()
-                    held = []
-                key = now
-                held.append(b.slice(i, j - i))
-        if held:
-            yield from done()
+                ok = own & (y > 0)
+                add(name, "size", bars.hour[ok], _bins(y[ok]))
+            start, length = _runs(y[own])
+            inner = length[1:-1]
+            add(name, "run", np.full(len(inner), -1), inner)
+            edge = np.unique(np.r_[0, len(start) - 1]) if len(start) else []
+            # the first and the last run may go on in the neighbouring blocks
+            out.extend((name, "edge", int(i > 0), int(length[i]), float(y[own][start[i]]), 1, blk) for i in edge)
+        cols = list(zip(*out)) if out else [()] * 7
+        src = pa.repeat(t.column("symbol")[0], len(out)) if out else pa.array([], "string")
+        kinds = ("string", "string", "int32", "int32", "float64", "int64", "int64")
+        return pa.table([src, *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["symbol", "field", "kind", "hour", "b", "a", "n", "_blk"])
 
     return scan
 
 
-def _stretches(rows: DataFrame) -> DataFrame:
-    """Rows with their stretch number ``b``; rows near an edge again in the neighbouring stretch with own = 0."""
-    stats = rows.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("t").alias("_a"), F.max("t").alias("_z"))
-    parts = F.ceil(F.col("_n") / TARGET_ROWS).cast("long")
-    stats = checkpointed(stats.select("src", "_a", parts.alias("_p"), (F.call_function("div", F.col("_z") - F.col("_a"), parts) + 1).alias("_w")))
-    x = rows.join(bounded(stats), "src")
-    pos = F.col("t") - F.col("_a")
-    b = F.call_function("div", pos, F.col("_w"))
-    into = pos - b * F.col("_w")
-    halo = F.call_function("div", F.col("_w"), F.lit(8).cast("long"))
-    copies = F.filter(
-        F.array(
-            F.struct(b.alias("b"), F.lit(1).cast("tinyint").alias("own")),
-            F.when((into < halo) & (b > 0), F.struct((b - 1).alias("b"), F.lit(0).cast("tinyint").alias("own"))),
-            F.when((into >= F.col("_w") - halo) & (b < F.col("_p") - 1), F.struct((b + 1).alias("b"), F.lit(0).cast("tinyint").alias("own"))),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    return x.withColumn("s", F.explode(copies)).select("src", "s.b", "s.own", *[c for c in rows.columns if c != "src"])
+def _brief(out: np.ndarray) -> np.ndarray:
+    """The marked readings that stand in marked runs of at most LONGEST."""
+    start, length = _runs(out)
+    return np.flatnonzero(out & (np.repeat(length, length) <= LONGEST))
+
+
+def _judge(fences: Fences) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def judge(t: pa.Table, known: pa.Table) -> pa.Table:
+        ids, names = [np.array([], "int64")], []
+        told = {(r["field"], r["kind"], r["hour"]): r for r in known.to_pylist()}
+        for name in fences.fields if t.num_rows else []:
+            bars = _Bars(t, name)
+            hits = [np.array([], "int64")]
+            if (name, "fence", -1) in told and len(bars.y):
+                with np.errstate(divide="ignore"):
+                    x = bars.y - _local_median(bars.y) if name in fences.change else np.log(np.maximum(bars.y, 0.0))
+                fence = lambda h, name=name: told.get((name, "fence", h), {"lo": np.inf, "a": -np.inf})
+                lo, hi = (np.array([fence(h)[c] for h in range(24)])[bars.hour] for c in ("lo", "a"))
+                hits.append(_brief(((x > fence(-1)["a"]) & (x > hi)) | ((x < fence(-1)["lo"]) & (x < lo))))
+            if (name, "frozen", -1) in told:
+                own = np.flatnonzero(bars.own)
+                start, length = _runs(bars.y[own])
+                whole, first = length.copy(), np.ones(len(length), bool)
+                for i in {0, len(start) - 1} if len(start) else ():
+                    edge = told[name, "edge", int(i > 0)]
+                    whole[i], first[i] = int(edge["a"]), bool(edge["n"])
+                for i in np.flatnonzero(whole >= told[name, "frozen", -1]["a"]):
+                    hits.append(own[start[i] + int(first[i]) : start[i] + length[i]])
+            got = bars.rows(np.unique(np.concatenate(hits))) if len(bars.y) else ids[0]
+            ids.append(got)
+            names += [name] * len(got)
+        return pa.table([pa.array(np.concatenate(ids)), pa.array(names, "string")], names=["id", "field"])
+
+    return judge
 
 
 def _quantiles(sketch: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
@@ -238,6 +183,47 @@ def _quantiles(sketch: DataFrame, keys: list[str], probs: Mapping[str, float]) -
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("c") >= p * F.col("total"), F.col("b"))).alias(name) for name, p in probs.items()], F.max("total").alias("total"))
 
 
+def _fence(found: DataFrame, fences: Fences) -> DataFrame:
+    """``symbol, field, kind 'fence', hour (-1: all), lo, a``: a departure from the local level or the logarithm of a size below ``lo`` or above ``a`` is out of bounds."""
+    keys = ["symbol", "field", "kind", "hour"]
+    hourly = found.filter("kind in ('change', 'size')").groupBy(*keys, "b").agg(F.sum("n").alias("n"))
+    both = hourly.unionByName(hourly.groupBy("symbol", "field", "kind", "b").agg(F.sum("n").alias("n")).withColumn("hour", F.lit(-1)))
+    q = _quantiles(both, keys, {"q1": 0.25, "q3": 0.75})
+    # where most readings do not change, or all alike, there is no range: the size of the changes there are takes its place
+    moved = _quantiles(both.filter("kind = 'change' and b <> 0"), keys, {"m1": 0.25, "m3": 0.75}).drop("total")
+    least = F.when(F.col("hour") >= 0, HOUR_READINGS).when(F.col("kind") == "size", LEAST_READINGS).otherwise(LEAST_READINGS - 1)
+    q = q.join(moved, keys, "left").filter(F.col("total") >= least)
+    wide = lambda no: F.create_map(*[F.lit(x) for f, m in {**fences.change, **fences.size}.items() for x in (f, float(m[no]))])[F.col("field")]
+    times = F.when(F.col("hour") < 0, wide(0)).otherwise(wide(1))
+    change = F.col("kind") == "change"
+    low, high = (F.when(change, _value(c)).otherwise(F.ln(_value(c))) for c in ("q1", "q3"))
+    size = F.greatest(F.abs(_value("m1")), F.abs(_value("m3")))
+    span = F.when(change & (high == low), size).when(change, high - low).otherwise(F.greatest(high - low, F.when(F.col("hour") < 0, 0.05).otherwise(0.2)))
+    lo = F.when(change, low - times * span).otherwise(F.lit(float("-inf")))
+    return q.select("symbol", "field", F.lit("fence").alias("kind"), "hour", lo.alias("lo"), (high + times * span).alias("a"), F.lit(0).cast("long").alias("n")).filter("a is not null")
+
+
+def _frozen(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frozen, edges): from which length on runs of a source are frozen, and per block and edge (``hour`` 0 first, 1 last) the
+    whole length ``a`` of the run that stands there and whether it begins there (``n``)."""
+    keys = ["symbol", "field"]
+    place = W.partitionBy(*keys).orderBy("_blk", "hour")
+    piece = found.filter("kind = 'edge'")
+    same = (F.lag("a").over(place) == F.col("a")) & (F.lag("_blk").over(place) < F.col("_blk"))
+    piece = piece.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("long")).withColumn("run", F.sum("new").over(place.rowsBetween(W.unboundedPreceding, 0)))
+    piece = piece.withColumn("whole", F.sum("b").over(W.partitionBy(*keys, "run")))
+    lens = found.filter("kind = 'run'").select(*keys, F.col("b").cast("long").alias("b"), "n").unionByName(piece.filter("new = 1").select(*keys, F.col("whole").alias("b"), F.lit(1).cast("long").alias("n")))
+    lens = lens.groupBy(*keys, "b").agg(F.sum("n").alias("n"))
+    w = W.partitionBy(*keys).orderBy("b")
+    shorter = lambda c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lens = lens.withColumn("below", F.coalesce(F.lag("b").over(w), F.lit(1))).withColumn("bars", shorter(F.col("b") * F.col("n"))).withColumn("equal", shorter((F.col("b") - 1) * F.col("n")))
+    chance = F.col("bars") * F.pow((F.col("equal") + 1) / (F.col("bars") + 1), F.col("b") - 1)
+    least = lens.filter((F.col("b") > 2 * F.col("below")) & ((F.col("b") >= LONG_RUN) | ((F.col("bars") > 0) & (chance < RARE)))).groupBy(*keys).agg(F.min("b").cast("double").alias("a"))
+    frozen = least.select(*keys, F.lit("frozen").alias("kind"), F.lit(-1).alias("hour"), F.lit(None).cast("double").alias("lo"), "a", F.lit(0).cast("long").alias("n"))
+    edges = piece.select(*keys, "kind", "hour", F.lit(None).cast("double").alias("lo"), F.col("whole").cast("double").alias("a"), F.col("new").alias("n"), "_blk")
+    return frozen, edges
+
+
 def implausible(df: DataFrame, src: str = "symbol", ident: str = "bar_id", ts: str = "bob", fences: Fences | None = None) -> DataFrame:
     """``ident, field``: the readings that cannot be true, each once.
 
@@ -248,49 +234,31 @@ def implausible(df: DataFrame, src: str = "symbol", ident: str = "bar_id", ts: s
 
     Rows of one source and time are copies of one bar: they are judged together and each
     copy with the flagged value is given.  Null and NaN are never flagged and stand in no
-    one's neighbourhood; rows with a null source or time are only judged by (a); sources
-    with fewer than eight readings only by (a) and (c); an empty table gives no rows.
+    one's neighbourhood (neighbours are looked for up to ``HALO`` rows beyond the block); rows with a null source or time
+    are only judged by (a); sources with fewer than eight readings only by (a) and (c); an empty table gives no rows.
     """
     fences = fences or Fences()
-    fields = ["low", "high", *fences.change, *fences.size]
-    k = F.lit(float(np.log(GAMMA)))
-    rows = df.select(F.col(src).alias("src"), epoch_us(F.col(ts)).alias("t"), F.col(ident).cast("long").alias("id"), *[F.col(f).cast("double").alias(f) for f in fields])
-    cut = _stretches(rows.filter("src is not null and t is not null"))
-    found = cut.select("src", "b", "own", "t", "id", *fields).repartition("src", "b").sortWithinPartitions("src", "b", "t", "id").mapInArrow(_scanner(fences, fields), SCHEMA)
-    found = checkpointed(found)
-    keys = ["src", "field"]
-    of = lambda kind: found.filter(F.col("kind") == kind)
-    merged = lambda kind, *more: of(kind).groupBy(*keys, *more, "b").agg(F.sum("n").alias("n"))
-
-    changes = merged("change_sketch")
-    scale = _quantiles(changes, keys, {"q": 0.75}).select(*keys, F.col("q"))
-    moved = _quantiles(changes.filter(f"b > {-(2**30)}"), keys, {"m": 0.75}).select(*keys, "m")
-    limit = F.create_map(*[F.lit(x) for f, m in fences.change.items() for x in (f, float(m))])
-    scale = scale.join(moved, keys, "left").select(*keys, F.exp(F.when(F.col("q") > -(2**30), F.col("q")).otherwise(F.col("m")) * k).alias("scale"))
-    away = of("away").join(bounded(scale), keys).filter(F.col("a") > limit[F.col("field")] * F.col("scale")).select("id", "field")
-
-    hourly = merged("size_sketch", "hour")
-    whole = hourly.groupBy(*keys, "b").agg(F.sum("n").alias("n"))
-    per_hour = _quantiles(hourly, [*keys, "hour"], {"h1": 0.25, "h3": 0.75}).withColumnRenamed("total", "hn")
-    per_src = _quantiles(whole, keys, {"s1": 0.25, "s3": 0.75}).drop("total")
-    beyond = lambda q1, q3, m, least: F.col("a") > F.col(q3) * k + m * F.greatest((F.col(q3) - F.col(q1)) * k, F.lit(least))
-    all_m = F.create_map(*[F.lit(x) for f, m in fences.size.items() for x in (f, float(m[0]))])[F.col("field")]
-    hour_m = F.create_map(*[F.lit(x) for f, m in fences.size.items() for x in (f, float(m[1]))])[F.col("field")]
-    size = of("size").join(bounded(per_src), keys).join(bounded(per_hour), [*keys, "hour"], "left")
-    size = size.filter(beyond("s1", "s3", all_m, 0.05) & (F.coalesce(F.col("hn") < 30, F.lit(True)) | beyond("h1", "h3", hour_m, 0.2))).select("id", "field")
-
-    lens = merged("run_sketch").withColumn("below", F.lag("b").over(W.partitionBy(*keys).orderBy("b")))
-    frozen = lens.filter((F.col("b") >= LEAST_RUN) & (F.col("b") > 2 * F.coalesce("below", F.lit(1)))).groupBy(*keys).agg(F.min("b").alias("frozen"))
-    stuck = of("run").join(bounded(frozen), keys).filter("b >= frozen").select("id", "field")
-
-    # rows that no source or time places are still judged by themselves
-    lone = rows.filter("src is null or t is null").withColumn("h", F.explode(F.array(*[F.lit(f) for f in fields[2:]])))
-    value = F.coalesce(*[F.when(F.col("h") == f, F.col(f)) for f in fields[2:]])
-    known = lambda c: F.nullif(F.col(c), F.lit(float("nan")))
-    eps = 1e-9 * F.abs(value)
-    bad = F.when(F.col("h") == "close", (value <= 0) | F.coalesce(value < known("low") - eps, F.lit(False)) | F.coalesce(value > known("high") + eps, F.lit(False))).otherwise(value < 0)
-    lone = lone.filter(value.isNotNull() & ~F.isnan(value) & (bad | (F.abs(value) == float("inf")))).select("id", F.col("h").alias("field"))
-    return (
-        of("impossible").select("id", "field").unionByName(away).unionByName(size).unionByName(stuck).unionByName(lone)
-        .distinct().select(F.col("id").alias(ident), "field")
-    )
+    names = fences.fields
+    eps = lambda v: 1e-9 * F.abs(v)
+
+    def bad(f: str) -> Column:
+        v, inf = F.col(f), F.abs(F.col(f)) == float("inf")
+        if f != "close":
+            return (v < 0) | inf
+        return (v <= 0) | inf | F.coalesce(v < F.col("low") - eps(v), F.lit(False)) | F.coalesce(v > F.col("high") + eps(v), F.lit(False))
+
+    rows = df.select(F.col(src).cast("string").alias("symbol"), epoch_us(F.col(ts)).alias("ts"), F.col(ident).cast("long").alias("tie"), *[number(f).alias(f) for f in ("low", "high", *names)])
+    wrong = F.filter(F.array(*[F.when(bad(f), F.lit(f)) for f in names]), lambda f: f.isNotNull())
+    impossible = rows.select(F.col("tie").alias("id"), F.explode(wrong).alias("field"))
+    good = rows.filter("symbol is not null and ts is not null").select("symbol", "ts", "tie", *[F.when(~bad(f), F.col(f)).alias(f) for f in names])
+    d = numbered(good.filter(F.coalesce(*names).isNotNull()))
+    own, at = floor_div(F.col("rn"), BLOCK), F.pmod(F.col("rn"), F.lit(BLOCK))
+    copies = F.filter(F.array(own, F.when(at >= BLOCK - HALO, own + 1), F.when((at < HALO) & (own > 0), own - 1)), lambda x: x.isNotNull())
+    cut = d.withColumn("_blk", F.explode(copies)).select("symbol", "_blk", "ts", "tie", "rn", (F.col("_blk") == own).alias("own"), *names)
+    key = ["symbol", "_blk"]
+    found = stored(cut.groupBy(*key).applyInArrow(_sketches(fences), SKETCH))
+    frozen, edges = _frozen(found)
+    blocks = found.select(*key).distinct()
+    known = _fence(found, fences).unionByName(frozen).join(blocks, "symbol").unionByName(edges)
+    judged = cut.groupBy(*key).cogroup(known.select(*key, "field", "kind", "hour", "lo", "a", "n").groupBy(*key)).applyInArrow(_judge(fences), "id long, field string")
+    return impossible.unionByName(judged).distinct().select(F.col("id").alias(ident), "field")

@@ -101,15 +101,21 @@ ORACLES["p3_found"] = """
           from rep window w as (partition by symbol, field order by bob)),
     r as (select *, sum((py is null or y <> py)::int) over (partition by symbol, field order by bob rows unbounded preceding) as run from s),
     rl as (select symbol, field, run, count(*) as len from r group by all),
-    fz as (select symbol, field, min(len) as least from (select *, lag(len) over (partition by symbol, field order by len) as below from (select distinct symbol, field, len from rl))
-           where len >= 10 and len > 2 * coalesce(below, 1) group by all),
-    sc as (select symbol, field, coalesce(nullif(quantile_disc(abs(y - py), 0.75), 0), quantile_disc(abs(y - py), 0.75) filter (where y <> py)) as scale from s where py is not null and n >= 8 group by all),
+    ln0 as (select symbol, field, len, count(*) as c, lag(len) over w as below, sum(len * count(*)) over (w rows between unbounded preceding and 1 preceding) as bars, sum((len - 1) * count(*)) over (w rows between unbounded preceding and 1 preceding) as eq
+            from rl group by symbol, field, len window w as (partition by symbol, field order by len)),
+    fz as (select symbol, field, min(len) as least from ln0 where len > 2 * coalesce(below, 1) and (len >= 10 or (bars > 0 and bars * power((eq + 1) / (bars + 1), len - 1) < 1e-4)) group by all),
+    ch as (select symbol, field, hour(bob) as h, y - py as d from s where py is not null and n >= 8),
+    qs as (select symbol, field, coalesce(h, -1) as h, count(*) as hn, quantile_disc(d, 0.25) as q1, quantile_disc(d, 0.75) as q3, greatest(abs(quantile_disc(d, 0.25) filter (where d <> 0)), abs(quantile_disc(d, 0.75) filter (where d <> 0))) as m
+           from ch group by grouping sets ((symbol, field, h), (symbol, field))),
+    sc as (select symbol, field, h, q1 - k * sp as lo, q3 + k * sp as hi from (select *, case when q1 = q3 then m else q3 - q1 end as sp, case when h < 0 then case field when 'close' then 9.3 else 18 end else case field when 'close' then 4 else 8 end end as k
+           from qs where h < 0 or hn >= 30) where sp is not null),
     z as (select *, ln(y) as lv, hour(bob) as h from s where field = 'volume' and y > 0),
     zs as (select symbol, quantile_disc(lv, 0.25) as s1, quantile_disc(lv, 0.75) as s3, count(*) as sn from z group by symbol),
     zh as (select symbol, h, quantile_disc(lv, 0.25) as h1, quantile_disc(lv, 0.75) as h3, count(*) as hn from z group by all),
     hits as (
         select symbol, field, bob, y from r join rl using (symbol, field, run) join fz using (symbol, field) where len >= least and y = py
-        union select symbol, field, bob, y from s join sc using (symbol, field) where (field = 'close' and abs(y - med) > 9 * scale) or (field = 'position' and abs(y - med) > 20 * scale)
+        union select s.symbol, s.field, bob, y from s join sc on sc.symbol = s.symbol and sc.field = s.field and sc.h = -1 left join sc sh on sh.symbol = s.symbol and sh.field = s.field and sh.h = hour(bob)
+              where s.field in ('close', 'position') and ((y - med > sc.hi and y - med > coalesce(sh.hi, '-infinity'::double)) or (y - med < sc.lo and y - med < coalesce(sh.lo, 'infinity'::double)))
         union select symbol, field, bob, y from z join zs using (symbol) join zh using (symbol, h)
               where sn >= 8 and lv > s3 + 3.4 * greatest(s3 - s1, 0.05) and (hn < 30 or lv > h3 + 2.6 * greatest(h3 - h1, 0.2)))
     select bar_id, field from ok where bad

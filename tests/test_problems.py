@@ -183,16 +183,45 @@ def test_spikes(spark):
     assert got == want
 
 
-def test_stretches_do_not_change_the_result(spark, monkeypatch):
+def test_blocks_do_not_change_the_result(spark, monkeypatch):
     import barwise.operators.spikes as s
 
     rows = series(3000, seed=3)
     for i in range(150, 3000, 290):
         rows[i][5] += 50
         rows[i][4] += 51
+    for i in range(1000, 1400):  # frozen over the edges of blocks
+        rows[i][7] = 777.0
     whole = flags(spark, rows)
-    monkeypatch.setattr(s, "TARGET_ROWS", 400)
-    assert flags(spark, rows) == whole and len(whole) >= 9
+    assert {(i, "position") for i in range(1001, 1400)} <= whole and len(whole) >= 408
+    for block in (60, 333):
+        monkeypatch.setattr(s, "BLOCK", block)
+        monkeypatch.setattr(s, "HALO", 20)
+        assert flags(spark, rows) == whole
+
+
+def test_a_stretch_of_its_own_scale_is_held_against_the_whole_source(spark):
+    """A reading far outside the source's changes is flagged, however wild the rows around it are."""
+    rows = series(8000, seed=4)
+    rng = np.random.default_rng(1)
+    for i in range(5000, 5400):  # changes ten times as large
+        for c in (3, 4, 5):
+            rows[i][c] += float(rng.integers(-10, 11)) * 0.1
+    for i in range(5100, 5400, 100):
+        rows[i][5] += 6
+        rows[i][4] += 7
+    got = flags(spark, rows)
+    assert {(i, "close") for i in range(5100, 5400, 100)} <= got
+
+
+def test_short_frozen_runs(spark):
+    """Seven equal readings are frozen where no other two neighbours are equal."""
+    rows = series(900, seed=6)
+    for i, r in enumerate(rows):
+        r[7] = 5000.0 + i % 2 * 10 + i
+    for i in range(300, 307):
+        rows[i][7] = 777.0
+    assert {i for i, f in flags(spark, rows) if f == "position"} >= set(range(301, 307))
 
 
 def test_spikes_empty_and_constant(spark):
