@@ -6,8 +6,9 @@ one partial pass over the first blocks of a seeded permutation, the last of them
 document.  The block copies of all sources are dealt to output shards by a
 multivariate-hypergeometric splitting tree: at each node the exact number of copies of
 each source that go left is drawn without replacement, so every shard gets whole numbers
-that add up exactly, shards have nearly equal shares of every source, and blocks are
-disjoint.  Within a shard documents are ordered by a seeded hash.
+that add up exactly, and blocks are disjoint.  Where a source has fewer than ``BLOCKS`` block copies
+these are dealt in pieces (by a further hash), so that small quotas reach every shard as well.
+Within a shard documents are ordered by a seeded hash.
 
 Only the table of blocks (sources x blocks rows, a parameter, whatever the documents)
 reaches the driver; texts are tokenised once and never move for the accounting.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.session import checkpointed
+from barwise.session import bounded, checkpointed
 
 BLOCKS = 256
 SHARDS = 16
@@ -38,18 +39,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-def _encoder(path: str) -> Callable[[list[str]], list[int]]:
-    import public_tokenizers
+def _encoder(path: str, pattern: str | None) -> Callable[[list[str]], list[int]]:
     import tiktoken
 
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
+
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    enc = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
 
 
-def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[Column], path: str | None = None) -> DataFrame:
-    """``doc_id, tokens`` and the columns ``keep``: the length of every whole text in tokens; null texts have 0."""
+def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[Column], path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``doc_id, tokens`` and the columns ``keep``: the length of every whole text in tokens; null texts have 0.
+
+    ``path`` is a file of ranks (token in base 64, rank) and ``pattern`` the expression that cuts texts before; by default those of the
+    module ``public_tokenizers``, which the machines' tokenizer folder is installed as.
+    """
     at = path or tokenizer_path()
     cols = docs.select(F.col(doc_id), F.col(text).alias("_text"), *keep)
     names = [c for c in cols.columns if c != "_text"]
@@ -58,7 +65,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[Column], pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
         for b in batches:
-            count = count or _encoder(at)
+            count = count or _encoder(at, pattern)
             n = count([t or "" for t in b.column("_text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(n, "int64")], names=[*names, "tokens"])
 
@@ -68,8 +75,8 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[Column], pa
 def split_tree(copies: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """(shard, source) numbers of block copies: ``copies`` per source dealt out exactly.
 
-    At each node a capacity of copies goes to the left half: of every source its expected whole
-    part, and of the remainders as many as a multivariate hypergeometric draw gives.
+    At each node a capacity of copies goes to the left half; how many of each source these are is one draw
+    without replacement from what the node holds (multivariate hypergeometric).
     """
     out = np.zeros((shards, len(copies)), "int64")
 
@@ -78,13 +85,9 @@ def split_tree(copies: np.ndarray, shards: int, rng: np.random.Generator) -> np.
             out[lo] = have
             return
         mid = (lo + hi) // 2
-        left = int(have.sum()) * (mid - lo) // (hi - lo)
-        # the expected whole part of every source is fixed, chance decides about the rest
-        sure = have * (mid - lo) // (hi - lo)
-        rest = have - sure - have * (hi - mid) // (hi - lo)
-        extra = rng.multivariate_hypergeometric(rest, max(0, min(left - int(sure.sum()), int(rest.sum())))) if rest.sum() else np.zeros_like(have)
-        deal(lo, mid, sure + extra)
-        deal(mid, hi, have - sure - extra)
+        left = rng.multivariate_hypergeometric(have, int(have.sum()) * (mid - lo) // (hi - lo), method="marginals")
+        deal(lo, mid, left)
+        deal(mid, hi, have - left)
 
     deal(0, shards, copies.astype("int64"))
     return out
@@ -118,7 +121,7 @@ def quotas(have: dict[str, int], targets: list[tuple[str, float, int]], total: i
 
 def mix(
     docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    total: int | None = None, seed: int = 11, shards: int = SHARDS, blocks: int = BLOCKS, path: str | None = None,
+    total: int | None = None, seed: int = 11, shards: int = SHARDS, blocks: int = BLOCKS, path: str | None = None, pattern: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
@@ -143,25 +146,29 @@ def mix(
     plain = F.regexp_replace(F.lower(F.trim(F.col(source))), r"[\s\-_./]+", "_").alias("source")
     block = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(blocks)).cast("int").alias("_b")
     named = docs.select(doc_id, text, plain, block).filter(F.col("source").isin(list(wanted)) if wanted else F.lit(False))
-    sized = checkpointed(token_counts(named, doc_id, text, [F.col("source"), F.col("_b")], path))
+    sized = checkpointed(token_counts(named, doc_id, text, [F.col("source"), F.col("_b")], path, pattern))
     per_block = {(r["source"], r["_b"]): int(r["t"]) for r in sized.groupBy("source", "_b").agg(F.sum("tokens").alias("t")).collect()}
     have: dict[str, int] = {}
     for (s, _), t in per_block.items():
         have[s] = have.get(s, 0) + t
     plans = quotas(have, [(s, w, r) for s, (w, r) in wanted.items()], total)
     copies = _uses(plans, per_block, seed)
+    pieces = {s: max(1, -(-blocks // max(1, len(c)))) for s, c in copies.items()}
+    copies = {s: [(*use, k) for use in c for k in range(pieces[s])] for s, c in copies.items()}
     dealt = split_tree(np.array([len(c) for c in copies.values()] or [0]), shards, np.random.default_rng(seed))
     placed = []
     for no, uses in enumerate(copies.values()):
         order = np.random.default_rng([seed, no]).permutation(len(uses))
         shard_of = np.repeat(np.arange(shards), dealt[:, no])
         placed += [(*uses[i], int(s)) for i, s in zip(order, shard_of)]
-    use = _local(spark, placed, "source string, _b int, copy int, _cut long, shard int")
+    use = _local(spark, placed, "source string, _b int, copy int, _cut long, _piece int, shard int")
+    in_pieces = bounded(_local(spark, list(pieces.items()), "source string, _pieces int"))
+    sized = sized.join(in_pieces, "source").withColumn("_piece", F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed + 3)), F.col("_pieces")).cast("int")).drop("_pieces")
     # a block that is used in part is cut where its documents, in hashed order, have reached the rest of the quota
-    cut_blocks = _local(spark, [(s, b, c) for s, b, _, c, _ in placed if c is not None], "source string, _b int, _cut long")
+    cut_blocks = _local(spark, sorted({(s, b, c) for s, b, _, c, _, _ in placed if c is not None}), "source string, _b int, _cut long")
     order = F.xxhash64(F.col(doc_id), F.lit(seed + 1))
     # (in ranges of the hash, so that only the range holding the cut is ordered document by document)
-    at_cut = sized.join(F.broadcast(cut_blocks), ["source", "_b"]).withColumn("_h", order).withColumn("_sub", F.shiftright("_h", 54))
+    at_cut = sized.join(bounded(cut_blocks), ["source", "_b"]).withColumn("_h", order).withColumn("_sub", F.shiftright("_h", 54))
     before = W.partitionBy("source", "_b").orderBy("_sub").rowsBetween(W.unboundedPreceding, -1)
     ranges = at_cut.groupBy("source", "_b", "_sub", "_cut").agg(F.sum("tokens").alias("_t"))
     ranges = ranges.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).filter("_off <= _cut").select("source", "_b", "_sub", "_off")
@@ -170,10 +177,10 @@ def mix(
         at_cut.join(ranges, ["source", "_b", "_sub"])
         .withColumn("_run", F.col("_off") + F.sum("tokens").over(inside))
         .filter(F.col("_run") - F.col("tokens") / 2 <= F.col("_cut"))
-        .select(doc_id, "source", "tokens", "_b")
+        .select(doc_id, "source", "tokens", "_b", "_piece")
     )
-    whole = sized.join(F.broadcast(use.filter("_cut is null").drop("_cut")), ["source", "_b"])
-    part = cut.join(F.broadcast(use.filter("_cut is not null").drop("_cut")), ["source", "_b"])
+    whole = sized.join(bounded(use.filter("_cut is null").drop("_cut")), ["source", "_b", "_piece"])
+    part = cut.join(bounded(use.filter("_cut is not null").drop("_cut")), ["source", "_b", "_piece"])
     cols = [doc_id, "source", "tokens", "copy", "shard"]
     mixture = whole.select(*cols).unionByName(part.select(*cols)).withColumn("position", F.xxhash64(F.col(doc_id), "copy", F.lit(seed + 2)))
     used = mixture.groupBy("source").agg(F.sum("tokens").alias("tokens_used"), F.count(F.lit(1)).alias("uses"), F.max("copy").alias("most_uses"))
