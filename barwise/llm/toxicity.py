@@ -1,7 +1,7 @@
 """Abusive, hateful or sexual content (problem 10): classifier chains over word windows.
 
-A document is judged by its worst window of ``WINDOW`` words.  The chain predicts the
-categories of ``SEEDS`` one after the other and then ``toxic``; every link is a linear
+A document is judged by its worst window of ``WINDOW`` words.  The chain predicts ``KINDS``
+categories of such content one after the other and then ``toxic``; every link is a linear
 (logistic) model of the words and word pairs in the window and of the probabilities the
 earlier links gave.  Those are out-of-fold predictions in training: for each fold of
 documents they come from links that have not seen it.
@@ -9,9 +9,9 @@ documents they come from links that have not seen it.
 Raters only say whether a document is toxic.  Which of its windows is meant is learned as
 a multiple-instance problem (a toxic document has at least one toxic window, others have
 none): the windows the current model finds worst are relabelled and the model is fitted
-again.  A category's examples are such windows of toxic documents that hold one of its
-seed words; windows of harmless documents, among them the trade's own look-alike terms,
-are its counter-examples.
+again.  The categories are learned as well: they are the kinds into which these windows of toxic
+documents fall by their wording; windows of harmless documents, among them the trade's own
+look-alike terms, are the counter-examples of each.  No word lists are used.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barwise.llm.words import plain
@@ -34,20 +35,15 @@ WINDOW = 20
 FOLDS = 3
 ROUNDS = 2
 TOP = 3  # windows of a document that take part in training
-#: Labelled documents used for fitting at most (chosen by hash of the id).
-MAX_LABELLED = 10_000
+#: Labelled documents used for fitting at most, and their characters in all (chosen by hash of the id).
+MAX_LABELLED, MAX_CHARS = 10_000, 60_000_000
 #: A word or pair is typical of toxic documents from so many of them, standard deviations above chance and log odds on; the
 #: same at every number of labels: what is rare is left to the penalty of the fit.
 LEAST_DOCS, SURE, MORE_ODDS = 2, 2.0, 0.7
 
-# Seed words of the categories, English, German, French.
-SEEDS = {
-    "sexual": "sex orgasm cock dick pussy nude nudes naked horny porn sluts slut nipples breasts erection fuck fucked cum undressed moaned thighs blowjob ficken fickte nackt stöhnte titten geil baisa baiser nue seins bite chatte".split(),
-    "threat": "kill break legs knife bleed choke hurt punch beat burn die dead teeth walk live children watch happens miss bridge umbringen schlag zähne stirb tuer mort crever frapper pendre".split(),
-    "insult": "idiot moron fool bastard bitch loser clown creep crap shit ass arse prick rat pig scum scumbag stupid dumb pathetic worthless useless filthy bloody retard ashamed dreckig arschloch fresse idiot trottel drecksau abschaum connard imbécile merde salaud crétin".split(),
-    "hate": "vermin subhuman parasites cockroaches animals filth garbage disease inferior immigrants foreigners minority settlers believers women disabled breed exterminated sterilised gassed hanged untermenschen ungeziefer ausländer vergast vermine étrangers race blood thieves".split(),
-}
-LINKS = [*SEEDS, "toxic"]
+#: Categories of toxic windows the chain learns before ``toxic``; kind_1 is the most frequent.
+KINDS = 4
+LINKS = [*(f"kind_{k + 1}" for k in range(KINDS)), "toxic"]
 
 # Signs and digits that stand for letters in disguised words.
 _LEET = str.maketrans("@$!013457|€", "asioleastle")
@@ -266,6 +262,35 @@ def _worst(score: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _kinds(feat: np.ndarray, begin: np.ndarray, weight: np.ndarray, kinds: int) -> np.ndarray:
+    """Kind (0 the most frequent) of each window: k-means of their weighted words on the unit sphere.
+
+    ``feat`` and ``begin`` are the windows' features, of which only words count.  The first centre is the mean, the others the windows farthest from all
+    before, so that nothing is left to chance.
+    """
+    n = len(begin)
+    who = np.repeat(np.arange(n), np.diff(np.r_[begin, len(feat)]))
+    use = (feat < len(weight)) & (weight[np.minimum(feat, len(weight) - 1)] > 0)
+    cols, at = np.unique(feat[use], return_inverse=True)
+    x = np.zeros((n, len(cols)), "float32")
+    x[who[use], at] = weight[cols][at]
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    centre = [x.mean(0)]
+    for _ in range(kinds - 1):
+        unit = np.array([c / max(1e-9, float(np.sqrt(c @ c))) for c in centre])
+        centre.append(x[int((x @ unit.T).max(1).argmin())])
+    centres, label = np.array(centre), np.zeros(n, int)
+    for _ in range(20):
+        centres /= np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9)
+        new = (x @ centres.T).argmax(1)
+        if (new == label).all():
+            break
+        label = new
+        centres = np.array([x[label == k].mean(0) if (label == k).any() else centres[k] for k in range(kinds)])
+    order = np.argsort(-np.bincount(label, minlength=kinds), kind="stable")
+    return np.argsort(order)[label]
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
     """The chain for labelled texts (``toxic`` 0/1).
 
@@ -279,7 +304,6 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Chain:
 
 def _train(docs: list[list[str]], toxic: np.ndarray, seed: int, extra: tuple[set, set], rounds: int) -> tuple[Chain, tuple[set, set]]:
     """The chain, and words and word pairs typical of the harmless windows it finds suspicious."""
-    seeds = {w: c for c, ws in SEEDS.items() for w in (folded(tokens(x)[0]) for x in ws if tokens(x))}
     n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
     df: list[Counter] = [Counter(), Counter()]
     pf: list[Counter] = [Counter(), Counter()]
@@ -301,7 +325,7 @@ def _train(docs: list[list[str]], toxic: np.ndarray, seed: int, extra: tuple[set
     # words and pairs known to the model: those typical of toxic documents, and where such a
     # word stands in harmless ones; the rest of the vocabulary has no say
     least, sure, more = LEAST_DOCS, SURE, MORE_ODDS
-    words = {w for w, c in df[1].items() if c >= least and excess(df, w) >= sure and odds(df, w) >= more} | set(seeds) | extra[0]
+    words = {w for w, c in df[1].items() if c >= least and excess(df, w) >= sure and odds(df, w) >= more} | extra[0]
     # of the many pairs of harmless documents only those are counted that can matter
     often = {p for p, c in pf[1].items() if c >= least}
     for d, y in zip(docs, toxic):
@@ -327,17 +351,13 @@ def _train(docs: list[list[str]], toxic: np.ndarray, seed: int, extra: tuple[set
     prior = np.zeros(base)
     for w in words:
         i = terms[w]
-        prior[i] = np.clip(odds(df, w), 0, 3) + (1.0 if w in seeds else 0.0)
+        prior[i] = np.clip(odds(df, w), 0, 3)
     run = np.r_[0.0, np.cumsum(prior[ids])]
     end = np.minimum(np.arange(len(ids)) + WINDOW, ends[doc_of]) if len(ids) else np.array([], "int64")
     score = run[end] - run[: len(ids)]
     # near-identical documents mostly begin alike and should not be split over folds
     fold = np.array([zlib.crc32(" ".join(d[:6]).encode() + bytes([seed])) % FOLDS for d in docs], "int64")
     judged = score  # the score that decides what is left out as a rater's error
-    seed_no = np.zeros(base, "int64")
-    for w, c in seeds.items():
-        if w in terms:
-            seed_no[terms[w]] = 1 + list(SEEDS).index(c)
 
     def rows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers of windows, one constant feature first so that no row is empty."""
@@ -389,7 +409,10 @@ def _train(docs: list[list[str]], toxic: np.ndarray, seed: int, extra: tuple[set
             usable = np.where(y_doc == 1, (score[starts] >= 0.6 * lead) & (lead > 0), True)
         else:
             usable = np.where(y_doc == 1, (score[starts] >= lead - 1.5) & (held_out > 0.0), judged[starts] < 2.5)
-        held = [set(seed_no[ids[s : end[s]]]) for s in starts]
+        kind = np.full(len(starts), -1)
+        bad = usable & (y_doc == 1)
+        if bad.sum() >= KINDS:
+            kind[bad] = _kinds(*take(feat, begin, bad), prior, KINDS)
         f_of = fold[d]
         earlier = np.zeros((len(starts), 0))
         links = []
@@ -397,7 +420,7 @@ def _train(docs: list[list[str]], toxic: np.ndarray, seed: int, extra: tuple[set
             if name == "toxic":
                 y, mask = y_doc, usable
             else:
-                has = np.array([no + 1 in h for h in held])
+                has = kind == no
                 y = y_doc * has
                 mask = usable & ((y_doc == 0) | has)
             out = np.full(len(starts), 1e-3)
@@ -435,19 +458,22 @@ def _train(docs: list[list[str]], toxic: np.ndarray, seed: int, extra: tuple[set
     return model, typical
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, limit: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, limit: int = MAX_LABELLED, chars: int = MAX_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and majority labels of the rated documents; null ratings and ties are left out.
 
-    At most ``limit`` documents, chosen by a hash of their id: the one bounded sample of this operator.
+    At most ``limit`` documents, and of these at most ``chars`` characters of text, in order of a hash of their id: the one bounded sample of this operator.
     """
     votes = labels.filter(f"{toxic} is not null and {doc_id} is not null").groupBy(doc_id).agg(F.avg(F.col(toxic).cast("double")).alias("_y")).filter("_y <> 0.5")
     votes = votes.orderBy(F.xxhash64(doc_id)).limit(limit)
-    got = docs.select(doc_id, text).filter(f"{text} is not null").join(F.broadcast(votes), doc_id).orderBy(doc_id).collect()
-    return [r[1] for r in got], np.array([int(r[2] > 0.5) for r in got], "int64")
+    got = docs.select(doc_id, F.col(text).alias("_text")).filter("_text is not null").join(F.broadcast(votes), doc_id)
+    # one window over at most ``limit`` rows
+    upto = W.partitionBy().orderBy(F.xxhash64(doc_id), doc_id).rowsBetween(W.unboundedPreceding, 0)
+    rows = got.withColumn("_upto", F.sum(F.char_length("_text")).over(upto)).filter(F.col("_upto") <= chars).select("_text", "_y").collect()
+    return [r[0] for r in rows], np.array([int(r[1] > 0.5) for r in rows], "int64")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
-    """``doc_id, <category scores>, toxic``: for every document its largest window probability per link.
+    """``doc_id, kind_1 .. kind_4, toxic``: for every document its largest window probability per link.
 
     Every document is scored over its whole text, labelled or not.  Null and empty texts get
     score 0; repeated documents get equal scores; without usable labels of both kinds the

@@ -216,6 +216,7 @@ def test_mix(spark):
     assert rep["small"]["most_uses"] == 4 and rep["gone"]["actual_share"] == 0.0
     per_shard = [sum(r["shard"] == k for r in uses) for k in range(mixing.SHARDS)]
     assert min(per_shard) > 0
+    assert len({r["shard"] for r in uses if r["source"] == "mid"}) == mixing.SHARDS
     assert sorted(mixture.collect()) == sorted(mixing.mix(docs.repartition(7), targets)[0].collect())
 
 
@@ -231,7 +232,16 @@ def test_split_tree_is_exact():
     for n in ([0], [7], [100, 1, 0, 33], [5] * 9):
         d = mixing.split_tree(np.array(n), 13, np.random.default_rng(1))
         assert d.sum(0).tolist() == n and (d >= 0).all()
-        assert all(abs(int(c.max()) - int(c.min())) <= 4 for c in d.T)
+        assert abs(int(d.sum(1).max()) - int(d.sum(1).min())) <= 4
+
+
+def test_split_tree_is_hypergeometric():
+    """What the first half gets of a source has the mean and variance of draws without replacement."""
+    have, rng = np.array([40, 20, 4]), np.random.default_rng(3)
+    got = np.array([mixing.split_tree(have, 8, rng)[:4].sum(0) for _ in range(3000)])
+    n, left = have.sum(), 32
+    assert np.allclose(got.mean(0), have * left / n, atol=0.15)
+    assert np.allclose(got.var(0), left * have / n * (1 - have / n) * (n - left) / (n - 1), rtol=0.12)
 
 
 def test_token_counts(spark):
@@ -271,6 +281,20 @@ def test_chain_on_held_out_texts():
     assert chain.scores(["", PATENT[1] * 400])[:, -1].max() < 0.5
 
 
+def test_kinds_on_held_out_texts():
+    """The chain's categories are kinds of content: held-out texts of one kind mostly have the same category on top."""
+    texts, y = make(600, 1)
+    chain = toxicity.train(texts, y)
+    tops = []
+    for bad in TOXIC:
+        scores = chain.scores([" ".join(PATENT[:3]) + " " + bad + " " + " ".join(random.Random(k).choices(PATENT, k=5)) for k in range(20)])
+        assert (scores[:, -1] >= 0.5).all()
+        top = scores[:, :-1].argmax(1)
+        tops.append(int(np.bincount(top).argmax()))
+        assert (top == tops[-1]).mean() >= 0.9 and np.median(scores[np.arange(20), top]) > 0.5
+    assert len(set(tops)) >= 3
+
+
 @pytest.mark.parametrize("toxic_docs", [200, 320])
 def test_toxicity_judges_rare_words_alike_at_every_size(toxic_docs):
     """Wording of three toxic documents and no harmless one keeps its weight however many labels there are."""
@@ -296,3 +320,5 @@ def test_toxicity_odd_input(spark):
     for bad in (labels.limit(0), labels.filter("toxic = 0")):
         assert toxicity.toxicity(docs, bad).filter("toxic >= 0.5").count() == 0
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    some = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", chars=3000)
+    assert 0 < len(some[0]) < 20 and sum(map(len, some[0])) <= 3000
