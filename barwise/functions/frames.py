@@ -19,6 +19,7 @@ import math
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -77,6 +78,16 @@ def full_next(fn: Callable[[Column], Column], x: Column | str, w: WindowSpec, n:
     return F.when(F.count(x).over(f) == n, fn(x).over(f))
 
 
+def rolling_apply(df: DataFrame, value: str, name: str, n: int, fn: Callable[[np.ndarray], float]) -> DataFrame:
+    """``df`` with ``name``: any function of the last ``n`` values, null until there are ``n`` (the way out where no built-in function will do)."""
+
+    def each(windows: pd.Series) -> pd.Series:
+        return pd.Series([fn(np.asarray(x, "float64")) if x is not None else None for x in windows], dtype="float64")
+
+    d = rolling(df, lambda w: {"_window": F.when(F.count(value).over(w.rowsBetween(-(n - 1), 0)) == n, F.collect_list(value).over(w.rowsBetween(-(n - 1), 0)))}, back=n)
+    return d.withColumn(name, F.pandas_udf(each, "double")(F.col("_window"))).drop("_window")
+
+
 def ewm(df: DataFrame, columns: Mapping[str, tuple[str, float]]) -> DataFrame:
     """Exponentially weighted means: ``name -> (column, q)``, weights q^age, normalised.
 

@@ -7,7 +7,10 @@ is rows times pairs of columns and nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,3 +174,16 @@ def matrix(pairs: DataFrame, value: str, columns: list[str]) -> DataFrame:
     return pairs.select("a", "b", value).unionByName(flipped).unionByName(diagonal)
 
 
+
+
+def pair_metric(pairs: DataFrame, name: str, metric: Callable[[np.ndarray, np.ndarray], float]) -> DataFrame:
+    """``a, b, name``: any function of the two columns of every pair of :func:`column_pairs`, rows with a null or NaN left out.
+
+    The function sees both columns whole, so that each pair is held in one task; measures of this module that aggregate do not need it.
+    """
+
+    def whole(x: pd.Series, y: pd.Series) -> float:
+        ok = x.notna() & y.notna()
+        return float(metric(x[ok].to_numpy(), y[ok].to_numpy()))
+
+    return pairs.groupBy("a", "b").agg(F.pandas_udf(whole, "double", F.PandasUDFType.GROUPED_AGG)("x", "y").alias(name))

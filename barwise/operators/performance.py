@@ -131,3 +131,23 @@ def rewards(df: DataFrame, n: int, a: float = 0.1, change_cost: float = 0.0, pen
         return {"reward": exponential(F.col("position") * step, a) + penalty_sign * change_cost * changed}
 
     return rolling(df, make, back=1, ahead=n)
+
+
+def env_steps(df: DataFrame, portfolio: Column, n: int = 1, cool_down: int = 10, gain_aversion: float = 0.5, loss_aversion: float = 0.1, operation_loss: float = 0.01, mean: bool = False) -> DataFrame:
+    """``symbol, ts, tie, portfolio, reward, done``: an episode per symbol that replays its prices with the given portfolios (-1 .. 1).
+
+    It begins flat at row ``cool_down`` and ends ``n`` + 1 rows before the last one.  The return is that of the price ``n`` rows on (or of the
+    ``mean`` of the next ``n``) times the portfolio; gains go through the isoelastic utility, losses through the exponential one (with aversion 0
+    they stay as they are); a changed portfolio adds ``operation_loss``, as the original has it.
+    """
+
+    def make(w) -> dict[str, Column]:  # noqa: ANN001
+        ahead = F.avg("price").over(w.rowsBetween(1, n)) if mean else F.lead("price", n).over(w)
+        before = F.when(F.col("rn") > cool_down, F.lag("portfolio").over(w)).otherwise(0.0)
+        return {"_r": F.col("portfolio") * (F.try_divide(ahead, F.col("price")) - 1), "_before": before, "_left": F.count("price").over(w.rowsBetween(1, n + 2))}
+
+    d = rolling(df.withColumn("portfolio", portfolio.cast("double")), make, back=1, ahead=n + 2).filter((F.col("rn") >= cool_down) & (F.col("_left") > n))
+    r = F.col("_r")
+    utility = F.when((r >= 0) & F.lit(gain_aversion > 0), isoelastic(r + 1, gain_aversion)).when((r < 0) & F.lit(loss_aversion > 0), exponential(r, loss_aversion)).otherwise(r)
+    cost = F.when(F.col("portfolio") != F.col("_before"), operation_loss).otherwise(0.0)
+    return d.select("symbol", "ts", "tie", "portfolio", (utility + cost).alias("reward"), (F.col("_left") == n + 1).alias("done"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.functions.frames import rolling
+from barwise.functions.frames import rolling_apply
+from barwise.operators import codependence as D
+from barwise.operators.performance import env_steps
 from barwise.plans import reference_io  # noqa: F401 (registers the queries used below)
-from barwise.plans.reference import ORACLES, QUERIES, T, WIN, _RATE, _rates, query
+from barwise.plans.reference import ORACLES, QUERIES, T, WIN, _COLS, _PAIRS, _RATE, query
 from barwise.session import table
 from barwise.sources import views as V
 from barwise.sources.store import chunks, contains_any, download
@@ -92,7 +95,38 @@ def search_value(spark, sf):  # noqa: ANN001, ANN201
     return t.join(below, ["symbol", "price"])
 
 
-@query("symbol ts tie", "reward", f"select symbol, ts, tie, tie % 3 - 1 as action, (tie % 3 - 1) * lead(rate) over {WIN} as reward from n", _RATE, longs="action", digits=4)
+@query("symbol ts tie done", "portfolio reward", f"""select symbol, ts, tie, portfolio, ahead_1 is null as done, case when r >= 0 then (sqrt(r + 1) - 1) / 0.5 else exp(abs(r) * 0.1) * r end + case when portfolio <> before then 0.01 else 0 end as reward from
+       (select *, portfolio * (ahead / price - 1) as r from (select *, lead(price, 3) over {WIN} as ahead, lead(price, 4) over {WIN} as ahead_0, lead(price, 5) over {WIN} as ahead_1, case when rn > 10 then lag(portfolio) over {WIN} else 0 end as before
+        from (select *, (tie % 3 - 1)::double as portfolio from n))) where rn >= 10 and ahead_0 is not null""", _RATE, digits=4)
 def rl_env_step(spark, sf):  # noqa: ANN001, ANN201
-    d = _rates(spark, sf).withColumn("action", F.pmod("tie", F.lit(3)) - 1)
-    return rolling(d, lambda w: {"reward": F.col("action") * F.lead("rate").over(w)}, ahead=1)
+    return env_steps(V.ticks(spark, sf), F.pmod("tie", F.lit(3)) - 1, n=3)
+
+
+@query("symbol ts tie", "slope", "select symbol, ts, tie, case when count(price) over f = 7 then regr_slope(price, rn) over f end as slope from n window f as (partition by symbol order by ts, tie rows between 6 preceding and current row)", _RATE)
+def roll_apply(spark, sf):  # noqa: ANN001, ANN201
+    """A function of one's own over the last rows, here the slope of a fitted line."""
+    x = np.arange(7) - 3.0
+    return rolling_apply(V.ticks(spark, sf), "price", "slope", 7, lambda y: float(x @ y) / 28.0)
+
+
+@query("a b", "distance", "select a, b, sqrt((1 - r) / 2) as distance from pr", _PAIRS)
+def codep_callable(spark, sf):  # noqa: ANN001, ANN201
+    """A metric of one's own for every pair of columns."""
+    return D.pair_metric(D.column_pairs(table(spark, sf, "lineitem"), _COLS), "distance", lambda x, y: np.sqrt((1 - np.corrcoef(x, y)[0, 1]) / 2))
+
+
+@query("table_name", sql="select 'contracts' as table_name, 2 as version, 1 as versions, false as deleted union all select 'prices', 1, 2, false union all select 'spare', null, 0, true", longs="version versions deleted")
+def store_admin(spark, sf):  # noqa: ANN001, ANN201
+    """Versions kept and dropped, and tables deleted."""
+    s = reference_io._stored(spark, sf)
+    c = table(spark, sf, "contracts").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    s.write("market", "prices", s.read("market", "prices"), keep_old=True)
+    for _ in range(3):
+        s.write("market", "contracts", c, keep_old=True)
+    s.keep_last("market", "contracts")
+    s.write("market", "spare", c)
+    s.delete("market", "spare")
+    names = ("contracts", "prices", "spare")
+    had = {t: s.versions("market", t) for t in names}
+    rows = [(t, had[t][-1] if had[t] else None, len(had[t]), not s.has_table("market", t)) for t in names]
+    return spark.createDataFrame(rows, "table_name string, version long, versions long, deleted boolean")
