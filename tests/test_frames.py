@@ -125,8 +125,8 @@ def test_cusum_against_literal_loop(ticks):
             want.append(0.0)
             continue
         up = max(0.0, up + eps[i]) / sd[i]
+        up = 0.0 if up > 2 else up  # a break sets its own row back
         want.append(up)
-        up = 0.0 if up > 2 else up
     assert np.allclose(got[got["symbol"] == "a"]["s_pos"], want, rtol=1e-6, atol=1e-9)
 
 
@@ -169,3 +169,103 @@ def test_registered_breaks_keep_the_stride(spark, monkeypatch, name):
     df = spark.createDataFrame([("s", T0 + dt.timedelta(days=i), i, float(v)) for i, v in enumerate(x)], "symbol string, ts timestamp_ntz, tie long, value double")
     monkeypatch.setattr(reference, "_daily", lambda *_: df)
     assert sorted(r["break_at"] for r in reference.QUERIES[name](spark, "").collect()) == [65, 135, 215]
+
+
+def test_cusum_without_mean_shift(ticks):
+    d = K.cusum(ticks[0].withColumn("price", F.col("price") - 50), "price", threshold=2.0, mean_shift=False, step=False)
+    got = collect(d, "s_pos")
+    x = ticks[1][ticks[1]["symbol"] == "a"]["price"].reset_index(drop=True) - 50
+    sd, up, want = x.rolling(30, min_periods=1).std(), 0.0, []
+    for i in range(len(x)):
+        up = max(0.0, up + x[i]) / sd[i] if i >= 30 and sd[i] > 0 else 0.0
+        want.append(up)
+    assert np.allclose(got[got["symbol"] == "a"]["s_pos"], want, rtol=1e-6, atol=1e-9)
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_affine_against_a_loop(ticks, block):
+    a, b = F.when(F.col("tie") % 7 == 0, 0.0).otherwise(0.9), F.when(F.col("tie") % 11 != 3, F.col("price"))
+    got = collect(frames.affine(ticks[0], "x", a, b, block=block), "x")
+    want, last, x = [], None, 0.0
+    for r in ticks[1].sort_values(["symbol", "tie"]).itertuples():
+        x, last = (x if r.symbol == last else 0.0), r.symbol
+        if r.tie % 11 != 3:
+            x = (0.0 if r.tie % 7 == 0 else 0.9) * x + r.price
+        want.append(x)
+    assert np.allclose(got["x"], want)
+
+
+def test_average_price_begins_anew_when_flat(spark):
+    from barwise.operators.performance import average_prices
+
+    ev = [(1, 1.0, 10.0), (2, -1.0, 99.0), (3, 1.0, 20.0), (4, 3.0, 24.0), (5, -2.0, 50.0), (6, 2.0, None), (7, 4.0, 31.0)]
+    df = spark.createDataFrame([("s", T0 + dt.timedelta(days=i), i, "long", v, p) for i, v, p in ev] + [("s", T0, 0, "short", 5.0, 7.0)], "symbol string, ts timestamp_ntz, tie int, side string, volume double, price double")
+    got = {(r["side"], r["tie"]): r["avg_price"] for r in average_prices(df).collect()}
+    assert got["long", 2] is None
+    assert [got["long", i] for i in (1, 3, 4, 5, 6, 7)] == pytest.approx([10.0, 20.0, 23.0, 23.0, 23.0, 27.0]) and got["short", 0] == 7.0
+
+
+def test_tail_probabilities(spark):
+    """Against tabled values of F, the normal and the unit-root distribution."""
+    from barwise.functions.special import f_tail, normal
+
+    d = spark.createDataFrame([(4.9646, 1.0, 10.0), (3.4928, 2.0, 20.0), (1.8409, 12.0, 100.0), (0.0, 1.0, 5.0), (None, 1.0, 5.0)], "f double, a double, b double")
+    got = [r[0] for r in d.select(f_tail(F.col("f"), F.col("a"), F.col("b"))).collect()]
+    assert got[:4] == pytest.approx([0.05, 0.05, 0.0512, 1.0], abs=4e-4) and got[4] is None
+    z = spark.createDataFrame([(-1.959964,), (0.0,), (2.575829,)], "z double").select(normal(F.col("z"))).collect()
+    assert [r[0] for r in z] == pytest.approx([0.025, 0.5, 0.995], abs=1e-6)
+    t = spark.createDataFrame([(-2.8615,), (-3.4304,), (-1.0,), (-30.0,), (5.0,)], "t double").select(K.unit_root_probability(F.col("t"))).collect()
+    assert [r[0] for r in t] == pytest.approx([0.05, 0.01, 0.75, 0.0, 1.0], abs=6e-3)
+
+
+def test_tick_bars_of_one_tick(ticks):
+    got = {(r["symbol"], r["ticks"]): r["count"] for r in B.tick_bars(ticks[0], 1).groupBy("symbol", "ticks").count().collect()}
+    assert got == {("a", 2): 1, ("a", 1): 1498, ("b", 2): 1, ("b", 1): 38}
+
+
+def test_close_values_spread_over_all_ranges(spark):
+    """Values within 1 % of each other do not become one range, and quantiles of them are exact."""
+    from barwise.operators.quantiles import quantiles
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(100_000).select(F.lit("a").alias("symbol"), (100 + F.col("id") / 100_000).alias("v"))
+        sizes = [r["count"] for r in frames.ranged(df, "symbol", "v").groupBy("_p").count().collect()]
+        assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * min(sizes)
+        assert quantiles(df, "v", ["symbol"], [0.25, 0.5]).first()["_q"] == pytest.approx([100.2499975, 100.499995])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+@pytest.mark.parametrize("name", ["perf_underwater", "norm_rate", "perf_pnl_position", "sw_avg_uniqueness", "bar_time", "bar_volume", "perf_position", "describe_stats"])
+def test_plans_do_not_double(spark, name, monkeypatch):
+    """Each written intermediate and the query itself read a source at most twice; steps of a chain do not multiply."""
+    import re
+    from collections import Counter
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+    from barwise import session
+    from barwise.operators import clean
+
+    base = "/root/testdata/sf0.001"
+    if not Path(base).exists():
+        pytest.skip("test tables not there")
+    plans, write = [], session.stored
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df):
+        plans.append(plan(df))
+        return write(df)
+
+    for module in (session, frames, clean):
+        monkeypatch.setattr(module, "stored", watched)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plans.append(plan(entry.queries()[name](spark, base)))
+    for p in plans:
+        read = Counter(re.findall(r"Location: [^\[]*\[file:[^\]]*?/(\w+\.parquet|barwise-table)", p))
+        assert sum(read.values()) and max([n for t, n in read.items() if t != "barwise-table"], default=0) <= 2, read
+        assert read["barwise-table"] <= 8 and p.count("Exchange hashpartitioning") <= 21 and p.count("Window [") <= 10, p
