@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barwise.operators.quantiles import mean_ranks
 from barwise.session import bounded
 
 
@@ -77,12 +78,8 @@ def distances(df: DataFrame, by: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str]) -> DataFrame:
     """``by, spearman``: half of 1 minus the correlation of mean ranks."""
-
-    def rank(c: str) -> Column:
-        w = W.partitionBy(*by)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*by, c)) - 1) / 2
-
-    d = df.filter("x is not null and y is not null").select(*by, rank("x").alias("rx"), rank("y").alias("ry"))
+    d = df.filter("x is not null and y is not null").select(*by, "x", "y")
+    d = mean_ranks(mean_ranks(d, "x", by, "rx"), "y", by, "ry")
     return d.groupBy(*by).agg(((1 - F.corr("rx", "ry")) / 2).alias("spearman"))
 
 
@@ -186,4 +183,4 @@ def pair_metric(pairs: DataFrame, name: str, metric: Callable[[np.ndarray, np.nd
         ok = x.notna() & y.notna()
         return float(metric(x[ok].to_numpy(), y[ok].to_numpy()))
 
-    return pairs.groupBy("a", "b").agg(F.pandas_udf(whole, "double", F.PandasUDFType.GROUPED_AGG)("x", "y").alias(name))
+    return pairs.groupBy("a", "b").agg(F.pandas_udf(whole, "double")("x", "y").alias(name))

@@ -22,6 +22,14 @@ def dense_ranks(df: DataFrame, value: str, at: str = "ts") -> DataFrame:
     return df.withColumn("rank", F.dense_rank().over(W.partitionBy(at).orderBy(value)))
 
 
+def blocked_product(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:
+    """All pairs of rows of two tables without a column in common, block against block: no side is gathered, each is sent out ``blocks`` times."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    block = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
+    a, b = left.withColumn("_l", block(left)).withColumn("_r", every), right.withColumn("_r", block(right)).withColumn("_l", every)
+    return a.join(b, ["_l", "_r"]).drop("_l", "_r")
+
+
 def rank_heatmap(df: DataFrame, a: str, b: str, clip: float = 0.99) -> DataFrame:
     """``a, b, share``: for each rank of ``a`` the share of each rank of ``b``, missing pairs 0, clipped at a quantile of all cells.
 
@@ -29,8 +37,7 @@ def rank_heatmap(df: DataFrame, a: str, b: str, clip: float = 0.99) -> DataFrame
     """
     counts = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("c"))
     ids = lambda c: counts.select(c).distinct()
-    domain = counts.agg(F.array_sort(F.collect_set(b)).alias("_all"))
-    grid = ids(a).join(F.broadcast(domain), F.lit(True)).select(a, F.explode("_all").alias(b))
+    grid = blocked_product(ids(a), ids(b))
     cells = grid.join(counts, [a, b], "left").withColumn("share", F.coalesce("c", F.lit(0)) / F.sum("c").over(W.partitionBy(a)))
     top = cells.agg(F.percentile("share", F.lit(clip)).alias("_top"))
     return cells.join(F.broadcast(top), F.lit(True)).select(a, b, F.least("share", "_top").alias("share"))

@@ -42,3 +42,18 @@ def quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[floa
     place = (F.col("_n") - 1) * share
     x = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
     return got.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", x.alias("_x")))).alias("_s")).select(*by, F.col("_s._x").alias(name))
+
+
+def mean_ranks(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``, the rank of a value in its group from 1 on, equal values with the mean of their ranks.
+
+    Ranks are worked out for the distinct values, range by range, and joined to the rows; rows with a null value or group are dropped.
+    """
+    by = list(by)
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = frames.ranged(counts, *by, value)
+    lower = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    per = ranged.groupBy(*by, "_p").agg(F.sum("_c").alias("_t")).select(*by, "_p", F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_off"))
+    upto = F.sum("_c").over(W.partitionBy(*by, "_p").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    ranks = ranged.join(per, [*by, "_p"]).select(*by, value, (F.col("_off") + upto - (F.col("_c") - 1) / 2).alias(name))
+    return df.join(ranks, [*by, value])

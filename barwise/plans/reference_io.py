@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from barwise.functions.frames import full, rolling
 from barwise.operators import clean as C
+from barwise.operators.crosssection import blocked_product
 from barwise.plans.reference import BA, PR, WIN, T, _COLS, _PAIRS, _p, _rates, _RATE, query
-from barwise.session import bounded, number, shared_folder, table
+from barwise.session import number, shared_folder, table
 from barwise.sources import views as V
 from barwise.sources.store import TableStore, download
 from barwise.streaming.bars import clock_bars, volume_bars_stream
@@ -208,8 +209,8 @@ def join_pairs_triangular(spark, sf):  # noqa: ANN001, ANN201
 @query("i j", "d", "select u.n_nationkey as i, v.n_nationkey as j, abs(u.n_regionkey - v.n_regionkey) as d from nation u, nation v")
 def join_cross_pairwise(spark, sf):  # noqa: ANN001, ANN201
     n = table(spark, sf, "nation")
-    everyone = n.agg(F.collect_list(F.struct("n_nationkey", "n_regionkey")).alias("all"))
-    return n.join(F.broadcast(everyone), F.lit(True)).withColumn("o", F.explode("all")).select(F.col("n_nationkey").alias("i"), F.col("o.n_nationkey").alias("j"), F.abs(F.col("n_regionkey") - F.col("o.n_regionkey")).alias("d"))
+    pairs = blocked_product(n.select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("ri")), n.select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("rj")))
+    return pairs.withColumn("d", F.abs(F.col("ri") - F.col("rj")))
 
 
 @query("symbol ts", "price volume", "select b.symbol, b.bob as ts, case when isnan(b.close) then null else b.close end as price, e.v as volume from b left join (select symbol, date_time, sum(volume) as v from event_df where symbol is not null and date_time is not null group by all) e on e.symbol = b.symbol and e.date_time = b.bob", BA)
