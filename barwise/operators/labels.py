@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.functions.frames import ewm, full, rolling, running
+from barwise.functions.frames import BLOCK, ewm, full, rolling, running
 from barwise.session import epoch_us, floor_div
 
 
@@ -131,12 +131,16 @@ def trend_scan(bars: DataFrame, window: int, least: int, step: int) -> DataFrame
 
     def make(w) -> dict[str, Column]:  # noqa: ANN001
         out: dict[str, Column] = {"_have": F.count("price").over(w.rowsBetween(0, window - 1))}
-        x, y = F.col("rn").cast("double"), F.col("price")
+        # places counted from the block's start, so that products stay small however long the series
+        x, y = (F.col("rn") - F.col("_blk") * BLOCK).cast("double"), F.col("price")
         for n in lengths:
             f = w.rowsBetween(0, n - 1)
-            sxx, sxy, syy = F.regr_sxx(y, x).over(f), F.regr_sxy(y, x).over(f), F.regr_syy(y, x).over(f)
-            b = F.try_divide(sxy, sxx)
-            t = F.try_divide(b, F.sqrt(F.try_divide(F.greatest(syy - b * sxy, F.lit(0.0)) / (n - 2), sxx)))
+            total = F.sum(y).over(f)
+            sxx = n * (n * n - 1) / 12
+            sxy = F.sum(x * y).over(f) - (x + (n - 1) / 2) * total
+            syy = F.sum(y * y).over(f) - total * total / n
+            b = sxy / sxx
+            t = F.try_divide(b, F.sqrt(F.greatest(syy - b * sxy, F.lit(0.0)) / ((n - 2) * sxx)))
             out[f"_t{n}"] = F.struct(F.abs(t).alias("a"), F.lit(-n).alias("n"), t.alias("t"), F.last("ts").over(f).alias("t1"), F.last("price").over(f).alias("p1"))
         return out
 
