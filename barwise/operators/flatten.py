@@ -35,7 +35,7 @@ def is_json(text: Column) -> Column:
 
 
 def _decoded(df: DataFrame, id_col: str, payload: str) -> DataFrame:
-    """(rid, groups array<struct<symbol, ticks>>) of the valid payloads, in order of appearance."""
+    """(rid, groups array<struct<symbol, ticks>>) of the valid payloads, in order of appearance; groups is null where there are none."""
     root = df.select(F.col(id_col).alias("rid"), F.col(payload).cast("string").alias("p")).filter(is_json(F.col("p")))
     root = root.select("rid", F.from_json("p", _ROOT, _JSON).alias("root"))
 
@@ -49,7 +49,8 @@ def _decoded(df: DataFrame, id_col: str, payload: str) -> DataFrame:
             F.filter(F.coalesce(ticks, lone), lambda t: t.isNotNull()).alias("ticks"),
         )
 
-    return root.select("rid", F.transform("root", group).alias("groups")).filter("groups is not null")
+    # (no filter on what was decoded: it would be decoded once more for it; null lists have no children)
+    return root.select("rid", F.transform("root", group).alias("groups"))
 
 
 def _parents(arr: pa.ListArray) -> np.ndarray:
@@ -148,7 +149,6 @@ def flatten_levels(ticks: DataFrame, id_col: str) -> DataFrame:
     cols = ", ".join(f"{s} double" for s in SIDES)
     return (
         valid.select(F.col(id_col).alias("rid"), "tick_no", "symbol", levels.alias("lv"))
-        .filter(F.size("lv") > 0)
         .mapInArrow(_levels, f"rid {kind}, tick_no int, symbol string, level_no int, {cols}")
         .withColumnRenamed("rid", id_col)
     )
